@@ -1,14 +1,9 @@
-"""Every registered query with its DuckDB equivalent."""
+"""Every registered query of the engine with its DuckDB equivalent."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import relational, versioned
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+QUERIES = relational.QUERIES | versioned.QUERIES
+ORACLES = relational.ORACLES | versioned.ORACLES
+flagship = versioned.flagship
