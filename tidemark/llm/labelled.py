@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     """
     fit = labels.where(labels[id_col].isNotNull() & labels[label].isin(0, 1)).where(bucket_of(labels[id_col], mod) != held_out)
     chosen = fit.groupBy(labels[id_col].alias("id")).agg(F.max(label).alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    found = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"]).select(F.coalesce(docs[text_col], F.lit("")).alias("t"), "y", "id")
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
+    found = texts.join(F.broadcast(chosen), "id")
     return [(r["t"], int(r["y"])) for r in sorted(found.collect(), key=lambda r: (r["id"], r["t"]))][: 2 * rows]
 
 

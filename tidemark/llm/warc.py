@@ -242,7 +242,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: OneFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: OneFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file, no partition
+            return
         store, _ = pafs.FileSystem.from_uri(self.path)
         asked = set(self.schema.names)
         inside = bool(asked & {"payload", "payload_bytes"})
