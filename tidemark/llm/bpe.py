@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 #: Pieces of text kept by a worker, and the longest that is kept.
-KEEP_WORDS, KEEP_LENGTH = 600_000, 48
+KEEP_WORDS, KEEP_LENGTH = 1_000_000, 48
 LONG = 256  # symbols to which the ids of a prefix are kept with its state
 CHUNK = 4 << 20  # characters of text whose new words make one trie
-OUT_BYTES = 8 << 20
+OUT_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -201,11 +201,13 @@ class WordBpe:
                 parts.append([[p] if i % 2 else self.pieces(p) for i, p in enumerate(self.cut(text))])
                 size += len(text) + 1
                 at += 1
-            new = {w for doc in parts for words in doc[::2] for w in words} - self.known.keys()
+            met: set[str] = set()
+            for doc in parts:
+                met.update(*doc[::2])
             if len(self.known) > KEEP_WORDS // 2:
                 # the older half goes; what it holds of this chunk moves on
                 self.prior, self.known = self.known, {}
-                new = {w for doc in parts for words in doc[::2] for w in words}
+            new = met - self.known.keys()
             old = new & self.prior.keys()
             self.known.update((w, self.prior[w]) for w in old)
             mine = self.learn(new - old)
@@ -275,6 +277,23 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(each, f"id {kind}, ids binary, decoded string")
 
 
+def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, decoded): both of the above in one pass, with one set of workers and tables."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                packed = list(bpe.encode_all(part.column("text").to_pylist()))
+                for coded in _pieces(part.column("id"), packed, pa.binary(), ["id", "ids"]):
+                    decoded = pa.array([bpe.decode(x.as_py()) for x in coded.column("ids")], pa.string())
+                    yield pa.RecordBatch.from_arrays([*coded.columns, decoded], names=["id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, ids binary, decoded string")
+
+
 def vocabulary() -> str:
     """The path of the public vocabulary that the queries take."""
     import public_tokenizers
@@ -285,5 +304,5 @@ def vocabulary() -> str:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     path = vocabulary()
-    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    out = bpe_roundtrip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
