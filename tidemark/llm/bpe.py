@@ -12,7 +12,6 @@ A worker keeps the encodings of words it has met, up to a bound, as packed ids.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -40,12 +39,14 @@ def byte_letters() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def unassigned_search():
-    """Finds a character that Python's tables do not know, which a pattern may class otherwise than the library."""
-    free = [c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
-    ends = [i for i in range(len(free)) if i + 1 == len(free) or free[i + 1] != free[i] + 1]
-    ranges = [(free[a], free[b]) for a, b in zip([0, *(i + 1 for i in ends[:-1])], ends, strict=True)]
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]").search
+def unassigned_marks() -> np.ndarray:
+    """By code point: whether Python's tables do not know it, so that a pattern may class it otherwise than the library."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def has_unassigned(text: str) -> bool:
+    marks, step = unassigned_marks(), 1 << 20  # characters looked at together
+    return any(marks[np.frombuffer(text[i : i + step].encode("utf-32-le", "surrogatepass"), dtype="<u4")].any() for i in range(0, len(text), step))
 
 
 class WordBpe:
@@ -65,7 +66,6 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.letters = byte_letters()
         self.codes = {i: i.to_bytes(4, "little") for i in self.names}
-        self.unassigned = unassigned_search()
         self.path, self.library = path, None
         # 1: a token; 2: the end, from some symbol on, of a longer one; 3: both
         self.part = dict.fromkeys(self.ids, 1)
@@ -169,7 +169,7 @@ class WordBpe:
 
     def pieces(self, text: str) -> list[str]:
         """What stands between blanks of a normal text; letters newer than this Python's tables go by the library."""
-        if not text.isascii() and self.unassigned(text):
+        if not text.isascii() and has_unassigned(text):
             return self.by_library(text)
         text = self.normal(text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split takes these for blanks
@@ -187,7 +187,7 @@ class WordBpe:
 
     def learn(self, new: set[str]) -> dict[str, bytes]:
         """Packed ids of pieces; each is one word or several."""
-        words = {p: [p] if p.isalpha() or not p.isascii() and self.unassigned(p) else self.words(p) for p in new}
+        words = {p: [p] if p.isalpha() or not p.isascii() and has_unassigned(p) else self.words(p) for p in new}
         known = self.encode_words({w for ws in words.values() for w in ws})
         return {p: known[ws[0]] if len(ws) == 1 else b"".join(map(known.__getitem__, ws)) for p, ws in words.items()}
 
