@@ -21,6 +21,7 @@ WINDOW, HIDDEN, BATCH = 64, 8, 2048
 #: Bound of the documents that the model is fitted on (each language's first ones come first),
 #: of windows from each, the training steps and windows in a step.
 SAMPLE, FROM_EACH, STEPS, STEP_WINDOWS, RATE = 1200, 6, 110, 192, 0.02
+PART_BITS = 12  # ranges of hashes that are counted for each language: 2**PART_BITS
 MOD, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -166,8 +167,13 @@ def language_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang
     as there are fewer than ``rows``; only they are broadcast, and only their texts collected.
     """
     known = docs.where(docs[id_col].isNotNull() & docs[lang_col].isNotNull() & (bucket_of(docs[id_col], MOD) != HELD_OUT)).select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.xxhash64(docs[id_col]).alias("h"))
+    # a language may hold most rows: counts by range of hashes say in which ranges its first ones lie
+    known = known.withColumn("part", F.shiftright("h", 64 - PART_BITS))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = known.groupBy("lang", "part").agg(F.count("*").alias("n")).withColumn("before", before).where(F.col("before") < rows)
+    first = known.join(ranges, ["lang", "part"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = known.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("nth", "h", "id", "lang").limit(rows).select("id", "lang").distinct()
+    chosen = first.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("nth", "h", "id", "lang").limit(rows).select("id", "lang").distinct()
     found = docs.join(F.broadcast(chosen), (docs[id_col] == chosen["id"]) & (docs[lang_col] == chosen["lang"]), "left_semi")
     return [(t, lang) for _, t, lang in sorted((r[0], r[1] or "", r[2]) for r in found.select(docs[id_col], docs[text_col], docs[lang_col]).collect())][: 2 * rows]
 
