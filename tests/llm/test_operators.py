@@ -109,6 +109,30 @@ def test_links_connect_what_is_near():
     assert classes(simhash.spanning_links(fp, fp, 2, True)) == classes(np.argwhere(near).tolist())
 
 
+def test_wide_fingerprints_find_similar_texts(spark, none, monkeypatch):
+    r, rows, alike = random.Random(6), [], {}
+    for i in range(40):
+        words = lines(300, 100 + i).split()
+        rows.append((10 * i, " ".join(words)))
+        if i % 2:
+            for at in r.sample(range(300), 5):  # shingles: a similarity of 0.84 or more
+                words[at] = "other"
+            rows.append((10 * i + 1, " ".join(words)))
+            alike[10 * i + 1] = 10 * i
+    rows += [(1000, None), (1001, ""), (1002, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: alike.get(i, 1000 if i == 1001 else i) for i, _ in rows}
+    for block in (simhash.WIDE_BLOCK, 2):
+        monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+        assert {x.id: x.component_id for x in simhash.near_dedup(docs, 5, 45, wide=True).collect()} == want
+    assert {x.doc_id for x in simhash.one_of_each(docs, 5, 45, wide=True).collect()} == set(want.values())
+    assert simhash.near_dedup(none, 5, 45, wide=True).count() == 0
+    a = np.random.default_rng(4).integers(0, 1 << 63, (50, 4), dtype=np.uint64)
+    a = np.concatenate([a, a ^ np.uint64(0x7FF)])
+    brute = np.array([[sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(p, q)) <= 44 for q in a] for p in a])
+    assert (simhash.within(a, a, 44) == brute).all()
+
+
 def test_repeated_passages(spark, none):
     passage = lines(60, 9)
     rows = [(1, lines(100, 4) + " " + passage + " " + lines(80, 5)), (2, lines(70, 6) + "\n" + passage + " " + lines(90, 7)), (3, lines(200, 8)), (4, lines(90, 10)), (5, lines(90, 10)), (6, None), (7, ""), (None, passage)]

@@ -9,6 +9,12 @@ on it, and only rows of a cell meet. What meets is verified by exclusive or.
 Equal fingerprints become one row first. A cell with more than ``BLOCK`` rows is cut into blocks,
 and each two of its blocks meet in a task of their own. A task returns the links that connect its
 rows, fewer than it has rows, not all pairs; the components of these links are those of all.
+
+Texts alike in a share of their shingles differ in far more bits than a grid without losses can
+take: at a similarity of 0.8, in some 15 % of them. For these the fingerprint has ``WORDS`` words
+of 64 bits, the further ones from the same hashes mixed anew, and the grid has a cell for each six
+segments. Two texts alike to 0.8 share one of these cells with a probability of 0.97, more alike
+ones with a greater one; again what meets is verified on all bits.
 """
 
 from __future__ import annotations
@@ -23,18 +29,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table
+from tidemark.llm.textnum import BASE, mixed
 
 SEGMENTS = 32
+#: Words of a wide fingerprint, segments of a cell of its grid, and fingerprints of a block.
+WORDS, WIDE_GROUP, WIDE_BLOCK = 4, 6, 16384
 #: Fingerprints of a cell that meet in one task at most, from each of two blocks.
 BLOCK = 4096
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bits set in over half the XXH64 (seed 42) of the word shingles; A-Z lower-cased; no words: 0."""
+def fingerprint(text: str | None, shingle: int, n_words: int = 1) -> np.ndarray:
+    """Words of the bits set in over half the XXH64 (seed 42) of the shingles; A-Z lower-cased; no words: 0.
+
+    The first word is of the hashes as they are, each further one of the hashes mixed anew.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(n_words, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     n = max(1, len(words) - shingle + 1)
@@ -42,22 +54,38 @@ def fingerprint(text: str | None, shingle: int) -> int:
     last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(first, last, strict=True)), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((n_words, 64), dtype=np.int64)
+    salts = np.arange(n_words, dtype=np.uint64) * BASE
     for i in range(0, n, 1 << 15):  # a long text in bounded memory
-        ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+        part = h[i : i + (1 << 15)]
+        for w in range(n_words):
+            bits = mixed(part + salts[w]) if w else part
+            ones[w] += np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp the 64 bits as a long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """(id, fp): fp the 64 bits as a long, or ``wide`` an array of ``WORDS`` longs. Null texts count as empty."""
+    n_words = WORDS if wide else 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.zeros((batch.num_rows, n_words), dtype=np.uint64)
+            for i, t in enumerate(batch.column("text")):
+                found[i] = fingerprint(t.as_py(), shingle, n_words)
+            fp = pa.array(found.view(np.int64).ravel())
+            if wide:
+                fp = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_words), fp)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fp], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, fp long")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, fp {'array<long>' if wide else 'long'}")
+
+
+def segment_counts(fp, first: int, n: int):
+    """The bit counts of ``n`` segments of a column of 64 bits, two bits for each."""
+    bits = F.shiftrightunsigned(fp, 2 * first).bitwiseAND(F.lit((1 << 2 * n) - 1))
+    return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x5555555555555555 & ((1 << 2 * n) - 1)))
 
 
 def cells_of(fp, distance: int) -> list:
@@ -65,25 +93,41 @@ def cells_of(fp, distance: int) -> list:
     groups, at, found = distance + 1, 0, []
     for g in range(groups):
         n = SEGMENTS // groups + (g < SEGMENTS % groups)
-        bits = F.shiftrightunsigned(fp, 2 * at).bitwiseAND(F.lit((1 << 2 * n) - 1))
-        counts = bits - F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(0x5555555555555555 & ((1 << 2 * n) - 1)))
-        found.append(counts + F.lit(g << 2 * (SEGMENTS // groups + 1)))
+        found.append(segment_counts(fp, at, n) + F.lit(g << 2 * (SEGMENTS // groups + 1)))
         at += n
     return found
 
 
+def wide_cells(fp) -> list:
+    """The cells of a wide fingerprint column: five of each word, 20 * 3**6 in all whatever the table."""
+    per = SEGMENTS // WIDE_GROUP
+    return [segment_counts(F.element_at(fp, w + 1), g * WIDE_GROUP, WIDE_GROUP) + F.lit(w * per + g << 2 * WIDE_GROUP) for w in range(WORDS) for g in range(per)]
+
+
 def n_cells(distance: int) -> int:
     """At most so many cells exist, whatever the table: three counts a segment."""
     groups = distance + 1
     return sum(3 ** (SEGMENTS // groups + (g < SEGMENTS % groups)) for g in range(groups))
 
 
+def within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    """Which rows of ``a`` and ``b``, of one word or several, differ in at most ``distance`` bits."""
+    if a.ndim == 1:
+        return np.bitwise_count(a[:, None] ^ b[None, :]) <= distance
+    near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    near += np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
+    near = near <= distance  # two words rule out nearly all that is apart; the rest are counted in full
+    r, c = np.nonzero(near)
+    near[r, c] = np.bitwise_count(a[r] ^ b[c]).sum(axis=1) <= distance
+    return near
+
+
 def spanning_links(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> list[tuple[int, int]]:
     """Links (position, position) of ``a`` followed by ``b`` that connect what is within ``distance``; a and b the same: of a."""
     label = np.arange(len(a) if same else len(a) + len(b))
     off, links = 0 if same else len(a), []
     for i in range(0, len(a), 256):
-        near = np.bitwise_count(a[i : i + 256, None] ^ b[None, :]) <= distance
+        near = within(a[i : i + 256], b, distance)
         for r in np.flatnonzero(near.sum(axis=1) > same):
             to = np.flatnonzero(near[r]) + off
             own = label[i + r]
@@ -95,20 +139,22 @@ def spanning_links(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> l
     return links
 
 
-def near_links(nodes: DataFrame, distance: int) -> DataFrame:
-    """(a, b) ids of ``nodes`` (rep, fp; each fp once) that connect all fingerprints within ``distance``."""
-    if distance + 1 > SEGMENTS // 2:
+def near_links(nodes: DataFrame, distance: int, wide: bool = False) -> DataFrame:
+    """(a, b) ids of ``nodes`` (rep, fp; each fp once) that connect fingerprints within ``distance``: all, or ``wide`` all that share a cell."""
+    if not wide and distance + 1 > SEGMENTS // 2:
         raise ValueError("too far for the grid")
-    put = nodes.select("rep", "fp", F.explode(F.array(*cells_of(F.col("fp"), distance))).alias("cell"))
-    crowd = put.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
-    if n_cells(distance) <= 100_000:  # a bound by construction, not by the data
+    cells, block = (wide_cells(F.col("fp")), WIDE_BLOCK) if wide else (cells_of(F.col("fp"), distance), BLOCK)
+    put = nodes.select("rep", "fp", F.explode(F.array(*cells)).alias("cell"))
+    crowd = put.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / block).cast("int").alias("n"))
+    if wide or n_cells(distance) <= 100_000:  # a bound by construction, not by the data
         crowd = F.broadcast(crowd)
     put = put.join(crowd, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     met = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = met.select("rep", "fp", "own", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fp, rep, own = rows["fp"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["own"].to_numpy()
+        fp, rep, own = np.stack(rows["fp"]) if wide else rows["fp"].to_numpy(), rows["rep"].to_numpy(), rows["own"].to_numpy()
+        fp = fp.view(np.uint64)
         if key[1] == key[2]:
             links = spanning_links(fp, fp, distance, True)
         else:
@@ -142,24 +188,27 @@ def components(links: DataFrame) -> DataFrame:
         stars = staged(small.distinct(), "links")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """(id, fp, component_id) for each row: the smallest id reachable by links of at most ``distance`` bits.
 
+    ``wide``: fingerprints of ``WORDS`` words, whose links are found with the probability that the
+    head of this file names; all others are found without exception.
+
     Fewer words than a shingle: the whole sequence is one; no words or null: fingerprint zero,
     linked like any other. Ids are longs; rows with a null id get the component of their
     fingerprint and never name one, null if no other row has it. Repeated rows are rows. An
     empty table gives an empty result.
     """
-    fps = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    fps = staged(fingerprints(docs, shingle, id_col, text_col, wide), "fingerprints")
     nodes = staged(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("rep")), "nodes")
-    roots = components(near_links(nodes, distance))
+    roots = components(near_links(nodes, distance, wide))
     named = nodes.join(roots, nodes["rep"] == roots["id"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id names their component, and all rows without id; rows that repeat an id stay together."""
-    found = near_dedup(docs.where(docs[id_col].isNotNull()), shingle, distance, id_col, text_col)
+    found = near_dedup(docs.where(docs[id_col].isNotNull()), shingle, distance, id_col, text_col, wide)
     gone = found.where("id <> component_id").select("id").distinct()
     return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
 
