@@ -36,6 +36,8 @@ SEGMENTS = 32
 WORDS, WIDE_GROUP, WIDE_BLOCK = 4, 6, 16384
 #: Fingerprints of a cell that meet in one task at most, from each of two blocks.
 BLOCK = 4096
+#: Cells of one block each meet in so many tasks together, as most are small; greater cells have their own.
+BINS = 1024
 SEED = 42
 
 
@@ -150,21 +152,22 @@ def near_links(nodes: DataFrame, distance: int, wide: bool = False) -> DataFrame
         crowd = F.broadcast(crowd)
     put = put.join(crowd, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     met = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = met.select("rep", "fp", "own", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    met = met.select("rep", "fp", "own", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("n") == 1, F.pmod("cell", F.lit(BINS))).otherwise(BINS + F.col("cell")).alias("bin"))
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fp, rep, own = np.stack(rows["fp"]) if wide else rows["fp"].to_numpy(), rows["rep"].to_numpy(), rows["own"].to_numpy()
-        fp = fp.view(np.uint64)
-        if key[1] == key[2]:
-            links = spanning_links(fp, fp, distance, True)
-        else:
-            order = np.argsort(own != key[1], kind="stable")
-            fp, rep, n = fp[order], rep[order], int((own == key[1]).sum())
-            links = spanning_links(fp[:n], fp[n:], distance, False)
-        at = np.array(links, dtype=np.int64).reshape(-1, 2)
+        cell = rows["cell"].to_numpy()
+        order = np.lexsort((rows["own"].to_numpy() != key[1], cell))  # the cells of a bin one by one, block i of each first
+        fp = (np.stack(rows["fp"]) if wide else rows["fp"].to_numpy()).view(np.uint64)[order]
+        rep, first, cell = rows["rep"].to_numpy()[order], (rows["own"].to_numpy() == key[1])[order], cell[order]
+        edges, found = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell)), []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            n = a + int(first[a:b].sum())
+            links = spanning_links(fp[a:b], fp[a:b], distance, True) if key[1] == key[2] else spanning_links(fp[a:n], fp[n:b], distance, False)
+            found += [(a + x, a + y) for x, y in links]
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": rep[at[:, 0]], "b": rep[at[:, 1]]})
 
-    return met.groupBy("cell", "i", "j").applyInPandas(meet, "a long, b long")
+    return met.groupBy("bin", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
