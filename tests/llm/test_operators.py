@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, exact_dedup, langid, mixing, quality, simhash, suffixes, topk, toxicity, warc
+from tidemark.llm import bpe, exact_dedup, langid, mixing, near, quality, simhash, suffixes, topk, toxicity, warc
 from tidemark.llm.common import shared_dir
 
 DATA = "/root/testdata/sf0.001"
@@ -133,6 +133,33 @@ def test_wide_fingerprints_find_similar_texts(spark, none, monkeypatch):
     assert (simhash.within(a, a, 44) == brute).all()
 
 
+def test_near_copies_are_those_of_brute_force(spark, none):
+    r, rows = random.Random(8), [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (None, "a b")]
+    for i in range(60):  # similarities on both sides of 0.8, and chains
+        words = lines(200, 300 + i).split()
+        for k in range(4):
+            rows.append((10 * i + k, " ".join(words)))
+            for at in r.sample(range(len(words)), r.randint(1, 9)):
+                words[at] = f"other{k}"
+    common = lines(30, 77)
+    rows += [(2000 + i, common + " " + lines(20, 500 + i)) for i in range(20)]
+    sets = {}
+    for i, t in rows:
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+    del sets[None]
+    label = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert any(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.82 for a, b in pairs)
+    for _ in sets:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in near.one_of_each(docs).collect()} == {*label.values(), None}
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()} == {*label.values(), None}
+    assert near.one_of_each(none).count() == 0
+
+
 def test_repeated_passages(spark, none):
     passage = lines(60, 9)
     rows = [(1, lines(100, 4) + " " + passage + " " + lines(80, 5)), (2, lines(70, 6) + "\n" + passage + " " + lines(90, 7)), (3, lines(200, 8)), (4, lines(90, 10)), (5, lines(90, 10)), (6, None), (7, ""), (None, passage)]
