@@ -168,6 +168,32 @@ def test_repeated_passages(spark, none):
     assert suffixes.repeated_passages(none).count() == 0
 
 
+def brute_passages(rows, least=50):
+    """{(id, a, b)}: runs of words covered by ``least`` words in a row that another id has."""
+    texts, owners, found = {i: t.split() for i, t in rows}, {}, set()
+    for i, w in texts.items():
+        for a in range(len(w) - least + 1):
+            owners.setdefault(tuple(w[a : a + least]), set()).add(i)
+    for i, w in texts.items():
+        start = end = -1
+        for a in range(len(w) - least + 1):
+            if len(owners[tuple(w[a : a + least])]) > 1:
+                if a > end:
+                    found |= {(i, start, end)} if end > 0 else set()
+                    start = a
+                end = a + least
+        found |= {(i, start, end)} if end > 0 else set()
+    return found
+
+
+def test_passages_of_many_edited_copies(spark):
+    r, base, rows = random.Random(5), lines(200, 31).split(), []
+    for i in range(300):
+        rows.append((i, " ".join(f"w{i}x{k}" if r.random() < 0.02 else w for k, w in enumerate(base))))
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(x.id, x.start_word, x.end_word) for x in got.collect()} == brute_passages(rows)
+
+
 def test_bpe_equals_the_library(docs, none):
     path = bpe.vocabulary()
     lib = Tokenizer.from_file(path)

@@ -1,15 +1,13 @@
-"""Repeated passages by a sparse suffix array over content-selected positions.
+"""Repeated passages by windows of words around content-selected positions.
 
 A position is retained when its k-gram of words is the minimiser of some window; two texts that
 share WINDOW + GRAM - 1 words retain the same position in them. Only positions whose k-gram
-recurs in another document become suffixes. They are sorted by the words from there on, each is
-compared with its neighbours of other documents, and a match is extended to the right and to the
-left; ``least`` words in all make a repeated passage. A suffix carries ``least`` words each way,
-as 32-bit hashes, which is as far as its part of a passage has to be followed: the next retained
-position, at most WINDOW words on, carries the rest.
-
-Sorting is by ranges that split the suffixes of one very common passage like any others; rows at
-the ends of a range meet their neighbours of the next range in a second, small pass.
+recurs in another document are followed: each ``least`` words in a row that hold such a k-gram
+become one 64-bit hash, and those whose hash another document has too are shared. A passage of
+``least`` or more words is shared just when each ``least`` words in a row of it are, so what
+overlaps adds up to the passages, whichever of many documents it is shared with. Nothing is
+compared with neighbours only, and no order of rows decides.
+
 Documents with equal texts are one document until the end.
 """
 
@@ -26,8 +24,6 @@ from tidemark.llm.common import staged, table
 from tidemark.llm.textnum import BASE, chunks, mixed, word_hashes
 
 GRAM, WINDOW = 8, 32
-#: Sorted rows that are compared at once.
-ROWS = 1 << 15
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -82,97 +78,44 @@ def retained(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(each, "id long, n_words long, at array<int>, gram array<long>")
 
 
-def binary(rows: np.ndarray) -> pa.Array:
-    """Each row's bytes as one value."""
-    width = rows.shape[1] * rows.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+def window_hashes(h: np.ndarray, least: int) -> np.ndarray:
+    """A hash of each ``least`` words in a row, from those of the words."""
+    n = len(h) - least + 1
+    if n < 1:
+        return np.zeros(0, dtype=np.uint64)
+    found, done, part, size = np.zeros(len(h), dtype=np.uint64), 0, h, 1
+    while True:  # hashes of 1, 2, 4 .. words, put together to the length wanted
+        if least & size:
+            shift = np.uint64(pow(int(BASE), size, 1 << 64))
+            rest = part[done:]
+            found, done = found[: len(rest)] * shift + rest, done + size
+        if 2 * size > least:
+            return mixed(found[:n])
+        part = part[:-size] * np.uint64(pow(int(BASE), size, 1 << 64)) + part[size:]
+        size *= 2
 
 
-def suffixes(docs: DataFrame, least: int) -> DataFrame:
-    """(id, at, ahead, behind) for each position of ``at`` of (id, text, at): ``least`` word hashes each way, zeros outside."""
+def windows(docs: DataFrame, least: int) -> DataFrame:
+    """(id, hash, a): each ``least`` words of (id, text, at) from word a on that hold the k-gram of a position of ``at``."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.arange(least)
         for batch in batches:
             wanted = batch.column("at").to_pylist()
             for i, raw, starts in chunks(batch.column("text").to_pylist()):
                 h, begin = word_hashes(raw, starts)
-                words = np.append((h >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+                hashes = window_hashes(h, least)
                 for nth in range(len(begin) - 1):
-                    own = np.array(wanted[i + nth], dtype=np.int64)
-                    for k in range(0, len(own), 8192):
-                        p = own[k : k + 8192, None] + begin[nth]
-                        right, left = p + step, p - 1 - step
-                        right = words[np.where(right < begin[nth + 1], right, -1)]
-                        left = words[np.where(left >= begin[nth], left, -1)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column("id")[i + nth].as_py(), dtype=np.int64)), pa.array(own[k : k + 8192].astype(np.int32)), binary(right), binary(left)], names=["id", "at", "ahead", "behind"])
-
-    return docs.mapInArrow(each, "id long, at int, ahead binary, behind binary")
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many first columns of each row are equal and inside both texts."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
-
-
-def compared(rows: pa.Table, least: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Passages (id, a, b) of sorted suffixes by their neighbours, and where runs of one document begin."""
-    n = rows.num_rows
-    ids, at = rows.column("id").to_numpy(), rows.column("at").to_numpy()
-    words = [np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=np.uint32).reshape(n, least) for c in ("ahead", "behind")]
-    run = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    of = np.repeat(np.arange(len(run)), np.diff(np.append(run, n)))
-    begin, end = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for other in (run[of] - 1, np.append(run, n)[of + 1]):
-        i = np.flatnonzero((other >= 0) & (other < n))
-        j = other[i]
-        right, left = shared(words[0][i], words[0][j]), shared(words[1][i], words[1][j])
-        left[right < GRAM] = 0
-        ok = right + left >= least
-        i, right, left = i[ok], right[ok], left[ok]
-        yield_a, yield_b = at[i] - left, at[i] + right
-        fresh = end[i] == 0
-        begin[i] = np.where(fresh, yield_a, np.minimum(begin[i], yield_a))
-        end[i] = np.maximum(end[i], yield_b)
-    hit = np.flatnonzero(end > 0)
-    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(begin[hit]), pa.array(end[hit])], names=["id", "a", "b"]), run
-
-
-def neighbours(ordered: DataFrame, least: int, ends: bool) -> DataFrame:
-    """(id, a, b) of suffixes sorted within partitions; with ``ends`` also the rows of each partition's two outer runs."""
-    names = ["id", "a", "b", "at", "ahead", "behind"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        begun = False
-
-        def outer(part: pa.Table) -> pa.RecordBatch:
-            columns = {"id": part["id"], "at": part["at"], "ahead": part["ahead"], "behind": part["behind"]}
-            return pa.RecordBatch.from_arrays([(columns[c].combine_chunks() if c in columns else pa.nulls(part.num_rows, k)) for c, k in zip(names, kinds, strict=True)], names=names)
-
-        def settle(last: bool):
-            nonlocal held, begun
-            found, run = compared(held, least)
-            yield pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, k) for k in kinds[3:])], names=names)
-            if ends and not begun:
-                yield outer(held.slice(0, int(run[1]) if len(run) > 1 else held.num_rows))
-            begun = True
-            if ends and last:
-                yield outer(held.slice(int(run[-1])))
-            held = held.slice(int(run[-2] if len(run) > 1 else run[-1]))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.Table.from_batches([*(held.to_batches() if held else []), batch])
-            if held.num_rows >= ROWS:
-                yield from settle(False)
-        if held:
-            yield from settle(True)
+                    n = int(begin[nth + 1] - begin[nth]) - least + 1
+                    if n < 1:
+                        continue
+                    p = np.array(wanted[i + nth], dtype=np.int64)
+                    marks = np.zeros(n + 1, dtype=np.int64)
+                    np.add.at(marks, np.clip(p - (least - GRAM), 0, n), 1)
+                    np.add.at(marks, np.clip(p + 1, 0, n), -1)
+                    a = np.flatnonzero(np.cumsum(marks[:n]) > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), batch.column("id")[i + nth].as_py(), dtype=np.int64)), pa.array(hashes[a + begin[nth]].view(np.int64)), pa.array(a)], names=["id", "hash", "a"])
 
-    return ordered.mapInArrow(each, "id long, a long, b long, at int, ahead binary, behind binary")
+    return docs.mapInArrow(each, "id long, hash long, a long")
 
 
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,14 +140,9 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     again = places.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
     chosen = places.join(again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
     one = mine.join(chosen, "id")
-    rows = staged(suffixes(one.select("id", "text", "at"), least), "suffixes")
-    order = ["ahead", "id", "at"]
-    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = staged(neighbours(rows.repartitionByRange(spread, *order).sortWithinPartitions(*order), least, True), "neighbours")
-    # two runs of one document from each range: as many rows as there are ranges, not as there are suffixes
-    outer = first.where("at IS NOT NULL").select("id", "at", "ahead", "behind").distinct()
-    second = neighbours(outer.coalesce(1).sortWithinPartitions(*order), least, False)
-    spans = first.where("a IS NOT NULL").select("id", "a", "b").union(second.select("id", "a", "b"))
+    rows = staged(windows(one.select("id", "text", "at"), least), "windows")
+    twice = rows.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("hash")
+    spans = staged(rows.join(twice, "hash", "left_semi").select("id", "a", (F.col("a") + least).alias("b")), "shared")
     line = Window.partitionBy("id").orderBy("a", "b")
     reach = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", (reach.isNull() | (F.col("a") > reach)).cast("int")).withColumn("nth", F.sum("new").over(line))
