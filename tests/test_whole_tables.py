@@ -20,3 +20,11 @@ def test_join_asof_takes_every_event(spark, tmp_path):
     assert any(i % 10 for i in want)
     rows = catalogue.QUERIES["join_asof_all"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.event_id: r.o_orderkey for r in rows} == want
+
+
+def test_pk_text_order_takes_every_key(spark, tmp_path):
+    keys = [*{*range(0, 30000, 7), -5, -10, 2000, 10**12}]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {k: n + 1 for n, k in enumerate(sorted(keys, key=str))}
+    rows = catalogue.QUERIES["pk_text_order_all"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want) and {r.o_orderkey: r.nth for r in rows} == want
