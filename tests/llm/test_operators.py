@@ -214,6 +214,19 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_great_components(spark):
+    rows = [(i, [float(i % 7), -float(i % 5), 0.5]) for i in range(60)] + [(100, [2.0**20, 3.0, -1.0]), (101, [2.0**20, 2.0, 0.0]), (102, [-(2.0**40), 1.0, 0.0]), (103, [2.0**40, 2.0**40, 1.0])]
+    got = {(x.query_id, x["rank"]): (x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows[:-1], "vec_id long, embedding array<float>")).collect()}
+    whole = {i: [int(256 * x) for x in v] for i, v in rows}
+    score = lambda a, b: sum(x * y for x, y in zip(whole[a], whole[b], strict=True))
+    for q in (0, 50, 100):
+        best = sorted((-score(q, i), i) for i in whole if i not in (q, 103))[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, -s) for s, i in best]
+    assert got[50, 1][0] == 101
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+
+
 def test_classifiers(spark, docs, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     table = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged, table
 
 CANDIDATES, QUERIES, DEPTH = 4096, 512, 128
-#: Components of greater magnitude, scaled, would not add up in 64 bits; such vectors take no part.
-LARGEST = 1 << 27
 
 
 def threshold_top(q: np.ndarray, own: int, ids: np.ndarray, cand: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +39,10 @@ def threshold_top(q: np.ndarray, own: int, ids: np.ndarray, cand: np.ndarray, or
         if len(new):
             seen[new] = True
             best_ids, best = np.concatenate([best_ids, ids[new]]), np.concatenate([best, cand[new] @ q])
-            keep = np.lexsort((best_ids, -best))[:k]
+            if best.dtype == object:
+                keep = np.array(sorted(range(len(best)), key=lambda i: (-best[i], best_ids[i]))[:k], dtype=np.int64)
+            else:
+                keep = np.lexsort((best_ids, -best))[:k]
             best_ids, best = best_ids[keep], best[keep]
         bound = (cand[order[n - b, up], up] * q[up]).sum() + (cand[order[b - 1, down], down] * q[down]).sum()
         if len(best) == k and best[-1] > bound or seen.all():
@@ -50,28 +51,41 @@ def threshold_top(q: np.ndarray, own: int, ids: np.ndarray, cand: np.ndarray, or
 
 
 def padded(vectors: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), dtype=np.int64)
+    out = np.zeros((len(vectors), dims))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
+def integers(a: np.ndarray) -> np.ndarray:
+    """Python's integers, of any size, for the whole numbers of ``a``."""
+    return np.array([int(x) for x in a.ravel().tolist()], dtype=object).reshape(a.shape)
+
+
+def as_long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(abs(x) >= 2**63 for x in scores):
+        raise ValueError("a score among the best does not fit 64 bits")
+    return scores.astype(np.int64)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by ``every`` the k best of all others.
 
     Components become floor(scale * x); the score is the inner product of integers, ties to the
-    smaller id. Null vectors and ids, vectors with a null or non-finite component, or one of more
-    than 2**27 when scaled, take no part. Rows alike in id and vector count once; a query meets no
+    smaller id. Null vectors and ids and vectors with a null or non-finite component take no part.
+    Scores are exact at any size; one among the best beyond 64 bits is an error. Rows alike in id and vector count once; a query meets no
     row of its own id. Shorter vectors count as filled with zeros. Fewer rows than k: all.
     """
     v = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].alias("x"))
-    fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LARGEST)
+    fit = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     v = v.where(F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall("x", fit))
-    v = staged(v.select("id", F.transform("x", lambda x: F.floor(x.cast("double") * scale).cast("int")).alias("v")).distinct(), "vectors")
+    # doubles hold these whole numbers exactly; from 2**53 on a double is whole as it is
+    whole = lambda y: F.when(F.abs(y) < 2**53, F.floor(y).cast("double")).when(F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit("a scaled component is beyond doubles")).cast("double"))
+    v = staged(v.select("id", F.transform("x", lambda x: whole(x.cast("double") * scale)).alias("v")).distinct(), "vectors")
     rows, asked = v.agg(F.count(F.lit(1)), F.count(F.when(F.pmod("id", F.lit(every)) == 0, 1))).first()
     n, m = max(1, -(-rows // CANDIDATES)), max(1, -(-asked // QUERIES))
     blocks = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    queries = v.where(F.pmod("id", F.lit(every)) == 0).withColumn("q", F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int")).withColumn("c", blocks(n))
+    queries = v.where(F.pmod("id", F.lit(every)) == 0).withColumn("own", F.xxhash64("v")).withColumn("q", F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int")).withColumn("c", blocks(n))
     candidates = v.withColumn("c", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("q", blocks(m))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -79,16 +93,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
         if len(left) and len(right):
             dims = max(left["v"].map(len).max(), right["v"].map(len).max())
             q, cand, ids = padded(left["v"], dims), padded(right["v"], dims), right["id"].to_numpy()
-            if float(np.abs(q).max(initial=0)) * float(np.abs(cand).max(initial=0)) * max(dims, 1) < 2**53:
-                q, cand = q.astype(np.float64), cand.astype(np.float64)  # exact below 2**53, and faster
             order = np.argsort(cand, axis=0, kind="stable") if dims else None
-            for own, one in zip(left["id"].to_numpy(), q, strict=True):
+            bound = int(np.abs(q).max(initial=0)) * int(np.abs(cand).max(initial=0)) * max(int(dims), 1)
+            if bound >= 2**53:  # below, doubles are exact, and faster
+                q, cand = (integers(q), integers(cand)) if bound >= 2**63 else (q.astype(np.int64), cand.astype(np.int64))
+            for own, vector, one in zip(left["id"].to_numpy(), left["own"].to_numpy(), q, strict=True):
                 if dims:
                     best_ids, best = threshold_top(one, own, ids, cand, order, k)
                 else:
                     best_ids = np.sort(ids[ids != own])[:k]
                     best = np.zeros(len(best_ids))
-                found.append(pd.DataFrame({"query_id": own, "own": int(pd.util.hash_array(one).view(np.int64).sum()), "vec_id": best_ids, "score": best.astype(np.int64)}))
+                found.append(pd.DataFrame({"query_id": own, "own": vector, "vec_id": best_ids, "score": as_long(best)}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "own": [], "vec_id": [], "score": []}, dtype="int64")
 
     best = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInPandas(meet, "query_id long, own long, vec_id long, score long")
