@@ -194,6 +194,18 @@ def test_passages_of_many_edited_copies(spark):
     assert {(x.id, x.start_word, x.end_word) for x in got.collect()} == brute_passages(rows)
 
 
+def test_passages_of_a_text_that_repeats_itself(spark):
+    body = lines(60, 40)
+    rows = [(1, " ".join(f"{body} sep{k} {lines(5, 600 + k)}" for k in range(60))), (2, f"{lines(30, 700)} {body} {lines(30, 800)}")]
+    docs, parts = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        got = {(x.id, x.start_word, x.end_word) for x in suffixes.repeated_passages(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == brute_passages(rows)
+
+
 def test_bpe_equals_the_library(docs, none):
     path = bpe.vocabulary()
     lib = Tokenizer.from_file(path)
