@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
-#: Pieces of text kept by a worker, and the longest that is kept.
-KEEP_WORDS, KEEP_LENGTH = 1_000_000, 48
+#: Pieces of text kept by a worker, and the longest that is kept: some 80 MB at most.
+KEEP_WORDS, KEEP_LENGTH = 400_000, 48
 LONG = 256  # symbols to which the ids of a prefix are kept with its state
-CHUNK = 4 << 20  # characters of text whose new words make one trie
+CHUNK = 1 << 20  # characters of text whose new words make one trie
 OUT_BYTES = 4 << 20
 
 
@@ -118,7 +118,7 @@ class WordBpe:
                 rest.append(word)
         letters = self.letters
         trie = plain | {"".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]): word for word in rest}
-        if self.tested > 1_000_000:
+        if self.tested > 400_000:
             self.rows, self.tested = [None] * len(self.rows), 0
         part, suffix, ids, rows, codes = self.part, self.suffix, self.ids, self.rows, self.codes
         found: dict[str, bytes] = {}
@@ -217,6 +217,10 @@ class WordBpe:
             for doc in parts:
                 yield b"".join(self.codes[self.special[words[0]]] if i % 2 else b"".join(map(look.__getitem__, words)) for i, words in enumerate(doc))
 
+    def forget(self) -> None:
+        """Give the memory of words met back, at the end of a task: the worker may go on with other work."""
+        self.known, self.prior = {}, {}
+
     def decode(self, packed: bytes) -> str:
         """Tokens between blanks, as a tokenizer without decoder gives them; special tokens stay."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -248,10 +252,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 yield from _pieces(part.column("id"), list(bpe.encode_all(part.column("text").to_pylist())), pa.binary(), ["id", "ids"])
+        bpe.forget()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, ids binary")
 
@@ -283,13 +289,15 @@ def bpe_roundtrip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 packed = list(bpe.encode_all(part.column("text").to_pylist()))
                 for coded in _pieces(part.column("id"), packed, pa.binary(), ["id", "ids"]):
                     decoded = pa.array([bpe.decode(x.as_py()) for x in coded.column("ids")], pa.string())
                     yield pa.RecordBatch.from_arrays([*coded.columns, decoded], names=["id", "ids", "decoded"])
+        bpe.forget()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, ids binary, decoded string")
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.paths import scratch as shared_dir
+
 #: ASCII white space, the word separator of every operator here.
 BLANK = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,18 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that driver and executors share.
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """From now on this session hands Python workers at most ``size`` of rows at once, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+#: A key with more than one row in so many of a table is hot; there are fewer such keys than that.
+HOT_SHARE = 2000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """``left`` joined with ``right`` on the column ``key``, of which ``right`` has each value once at most.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is
-    absent (a session in one process, as in tests) a local temporary folder stands in.
+    Keys that hold more than one in ``HOT_SHARE`` rows of ``left`` are dealt over several tasks:
+    their rows get a salt and their row of ``right`` is repeated for each. The hot keys are at
+    most ``HOT_SHARE`` by their definition, so they are broadcast. Null keys meet nothing.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    n = left.count()
+    counts = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, n // HOT_SHARE))
+    hot = F.broadcast(staged(counts.select(F.col(key).alias("_hot"), F.least(F.lit(HOT_SHARE), F.ceil(F.col("count") * HOT_SHARE / n) + 1).cast("int").alias("_parts")), "hot-keys"))
+    spread = left.join(hot, F.col(key) == F.col("_hot"), "left")
+    own = F.xxhash64(*[F.col(c) for c in left.columns if c != key])  # of the row, so that a task that runs again deals alike
+    spread = spread.withColumn("_salt", F.coalesce(F.pmod(own, F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    copies = right.join(hot, F.col(key) == F.col("_hot"), "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_hot", "_parts")
+    return spread.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +51,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast at most, 16 MB of them; more are dealt by a shuffle.
+FEW_KEYS = 1_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among the distinct ``keys`` of one column, which are counted: few ones are broadcast."""
+    return df.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, key, "left_semi")
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``staged`` table once all that is made of it is written."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII takes the built-in fast path; it gives the same there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -10,7 +10,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-CHUNK = 1 << 20  # bytes of text hashed at once; a longer text is a chunk of its own
+CHUNK = 1 << 18  # bytes of text hashed at once; a longer text is a chunk of its own
 
 _powers = {}
 
@@ -21,7 +21,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         found = np.full(max(n, CHUNK + 1), base, dtype=np.uint64)
         found[0] = 1
         np.multiply.accumulate(found, out=found)
-        if n <= 1 << 23:  # what a rare huge text needs is not kept
+        if n <= 1 << 20:  # what a rare huge text needs is not kept
             _powers[base] = found
     return found[:n]
 
