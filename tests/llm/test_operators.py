@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,31 +107,30 @@ def test_links_connect_what_is_near():
                 label[label == max(label[a], label[b])] = min(label[a], label[b])
         return label.tolist()
 
-    assert classes(simhash.spanning_links(fp, fp, 2, True)) == classes(np.argwhere(near).tolist())
+    assert classes(simhash.spanning_links(fp, fp, [2], True)) == classes(np.argwhere(near).tolist())
 
 
-def test_wide_fingerprints_find_similar_texts(spark, none, monkeypatch):
-    r, rows, alike = random.Random(6), [], {}
-    for i in range(40):
-        words = lines(300, 100 + i).split()
-        rows.append((10 * i, " ".join(words)))
-        if i % 2:
-            for at in r.sample(range(300), 5):  # shingles: a similarity of 0.84 or more
-                words[at] = "other"
-            rows.append((10 * i + 1, " ".join(words)))
-            alike[10 * i + 1] = 10 * i
-    rows += [(1000, None), (1001, ""), (1002, "a b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {i: alike.get(i, 1000 if i == 1001 else i) for i, _ in rows}
-    for block in (simhash.WIDE_BLOCK, 2):
-        monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
-        assert {x.id: x.component_id for x in simhash.near_dedup(docs, 5, 45, wide=True).collect()} == want
-    assert {x.doc_id for x in simhash.one_of_each(docs, 5, 45, wide=True).collect()} == set(want.values())
-    assert simhash.near_dedup(none, 5, 45, wide=True).count() == 0
+def test_distances_and_their_lower_bound():
     a = np.random.default_rng(4).integers(0, 1 << 63, (50, 4), dtype=np.uint64)
     a = np.concatenate([a, a ^ np.uint64(0x7FF)])
-    brute = np.array([[sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(p, q)) <= 44 for q in a] for p in a])
-    assert (simhash.within(a, a, 44) == brute).all()
+    brute = np.array([[sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(p, q)) for q in a] for p in a])
+    u = simhash.unary_array(a)
+    assert (simhash.differing(a, a) == brute).all() and (simhash.differing(u, u) <= brute).all()
+    pairs = list(zip(*(x.tolist() for x in simhash.within(a, a, u, u, 44)), strict=True))
+    assert pairs == [tuple(x) for x in np.argwhere(brute <= 44).tolist()]
+
+
+def test_fingerprint_is_the_majority_of_xxh64():
+    import xxhash
+
+    text = "The  quick\tbrown Fox " + lines(30, 12) + " É end"
+    words = [w for w in re.split("[\x20\x09-\x0D]+", text) if w]
+    low = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w) for w in words]
+    hashes = [xxhash.xxh64_intdigest(" ".join(low[i : i + 4]).encode(), 42) for i in range(len(low) - 3)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert int(simhash.majority(simhash.shingle_hashes(text, 4))) == want
+    assert int(simhash.majority(simhash.shingle_hashes("A b", 4))) == xxhash.xxh64_intdigest(b"a b", 42)
+    assert int(simhash.majority(simhash.shingle_hashes(None, 4))) == 0
 
 
 def test_near_copies_are_those_of_brute_force(spark, none):
