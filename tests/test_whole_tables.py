@@ -1,8 +1,10 @@
 """Queries over whole tables against brute force."""
 
 import datetime
+import hashlib
 
 from tidemark import catalogue
+from tidemark.operators import integrity, stats
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -18,7 +20,7 @@ def test_join_asof_takes_every_event(spark, tmp_path):
         if found := [(d, k) for k, c, d in orders if c == i % 100 and d <= ts]:
             want[i] = max(found)[1]
     assert any(i % 10 for i in want)
-    rows = catalogue.QUERIES["join_asof_all"](spark, str(tmp_path)).collect()
+    rows = catalogue.QUERIES["join_asof"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.event_id: r.o_orderkey for r in rows} == want
 
 
@@ -26,5 +28,45 @@ def test_pk_text_order_takes_every_key(spark, tmp_path):
     keys = [*{*range(0, 30000, 7), -5, -10, 2000, 10**12}]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     want = {k: n + 1 for n, k in enumerate(sorted(keys, key=str))}
-    rows = catalogue.QUERIES["pk_text_order_all"](spark, str(tmp_path)).collect()
+    rows = catalogue.QUERIES["pk_text_order"](spark, str(tmp_path)).collect()
     assert len(rows) == len(want) and {r.o_orderkey: r.nth for r in rows} == want
+
+
+def test_leaves_and_segments_do_not_depend_on_partitions(spark):
+    docs = spark.range(3000).selectExpr("id AS k", "concat('n', id * 7 % 1000) AS v").repartition(7)
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    rows = sorted((f"t\0{k}".encode(), f"{k}\tn{k * 7 % 1000}".encode()) for k in range(3000))
+    level = []
+    size = lambda b: len(b).to_bytes(4, "little") + b
+    ends = lambda k, v: hashlib.sha256(k + v).digest()[0] & 3 == 0
+    held = []
+    for k, v in rows:
+        held.append((k, v))
+        if ends(k, v):
+            level.append((held[0][0], hashlib.sha256(b"leaf" + b"".join(size(a) + size(b) for a, b in held)).digest()))
+            held = []
+    if held:
+        level.append((held[0][0], hashlib.sha256(b"leaf" + b"".join(size(a) + size(b) for a, b in held)).digest()))
+    n_leaves = len(level)
+    while len(level) > 1:
+        up, held = [], []
+        for k, h in level:
+            held.append((k, h))
+            if ends(k, h) and len(held) > 1:
+                up.append((held[0][0], hashlib.sha256(b"internal" + b"".join(size(a) + b for a, b in held)).digest()))
+                held = []
+        if held:
+            up.append((held[0][0], hashlib.sha256(b"internal" + b"".join(size(a) + b for a, b in held)).digest()))
+        level = up
+    try:
+        for n in ("2", "8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = integrity.leaves(integrity.entries(docs, "t", "k"))
+            assert found.count() == n_leaves
+            seen.add(integrity.content_root(found))
+            sizes = [r["count"] for r in stats.segments(docs, "k").groupBy("segment").count().orderBy("segment").collect()]
+            assert sizes == [1024, 1024, 952]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen == {level[0][1].hex()}
+    assert integrity.content_root(found.where("false")) is None

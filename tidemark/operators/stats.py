@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import positions
+
 SEGMENT_ROWS = 1024
 BLOOM_BITS = 256
 
@@ -16,17 +18,8 @@ def zone_map(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def segments(df: DataFrame, key: str, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Rows with ``segment``: positions in key order, ``rows`` at a time.
-
-    Positions are counted by ranges: a range's rows are numbered within it and shifted by the
-    rows of ranges before it, so no task orders the whole table.
-    """
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(spread, key).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").count()
-    shift = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_shift"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy(key)) + F.col("_shift") - 1
-    return parts.join(shift, "_part").withColumn("segment", F.floor(nth / rows)).drop("_part", "_shift")
+    """Rows with ``segment``: positions in key order, ``rows`` at a time."""
+    return positions(df, key, "_nth").withColumn("segment", F.floor(F.col("_nth") / rows)).drop("_nth")
 
 
 def segment_zones(df: DataFrame, column: str) -> DataFrame:

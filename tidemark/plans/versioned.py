@@ -263,12 +263,39 @@ def mirror_at_commit(spark, sf_dir):
     return mirror(spark, sf_dir).where("c = '77'").select("k", "event_id", "value")
 
 
-@query(
-    "leaf_chunks",
-    "WITH e AS (SELECT 'customer' || chr(0) || c_custkey AS k, sha256('customer' || chr(0) || c_custkey || c_custkey || chr(9) || c_name) AS h FROM customer), b AS (SELECT k, h, CASE WHEN (('0x' || substr(h, 2, 1))::INT & 3) = 0 THEN 1 ELSE 0 END AS cut FROM e), s AS (SELECT k, h, coalesce(sum(cut) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS leaf FROM b) SELECT CAST(leaf AS BIGINT) AS leaf, min(k) AS first_key, max(k) AS last_key, count(*) AS n, sha256(string_agg(h, '' ORDER BY k)) AS leaf_hash FROM s GROUP BY leaf",
-)
+def leaf_sql(name: str, source: str, value: str) -> str:
+    """CTE of the leaves of a table's entries (k, v); lengths are four bytes, the lowest first."""
+    le = lambda c: f"printf('%02x%02x%02x%02x', strlen({c}) & 255, (strlen({c}) >> 8) & 255, (strlen({c}) >> 16) & 255, strlen({c}) >> 24)"
+    return f"""{name}_e AS (SELECT k, v, sha256(k || v) AS h FROM (SELECT 'customer' || chr(0) || c_custkey AS k, {value} AS v FROM {source}) x),
+      {name}_s AS (SELECT k, v, coalesce(sum(CASE WHEN (('0x' || substr(h, 2, 1))::INT & 3) = 0 THEN 1 ELSE 0 END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS leaf FROM {name}_e),
+      {name} AS (SELECT CAST(leaf AS BIGINT) AS leaf, min(k) AS first_key, max(k) AS last_key, count(*) AS n,
+        sha256(unhex(hex('leaf') || string_agg({le('k')} || hex(k) || {le('v')} || hex(v), '' ORDER BY k))) AS leaf_hash FROM {name}_s GROUP BY leaf)"""
+
+
+CELLS = "c_custkey || chr(9) || c_name"
+EDITED = f"CASE WHEN c_custkey % 50 = 7 THEN {CELLS} || '!' ELSE {CELLS} END"
+
+
+def customer_leaves(spark, sf_dir, edited: bool = False) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    if edited:
+        c = dml.update(c, {"c_name": F.concat("c_name", F.lit("!"))}, F.col("c_custkey") % 50 == 7)
+    return integrity.leaves(integrity.entries(c, "customer", "c_custkey"))
+
+
+@query("leaf_chunks", f"WITH {leaf_sql('l', 'customer', CELLS)} SELECT * FROM l")
 def leaf_chunks(spark, sf_dir):
-    return integrity.leaves(integrity.entries(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "customer", "c_custkey"))
+    return customer_leaves(spark, sf_dir)
+
+
+@query("leaf_difference", f"WITH {leaf_sql('a', 'customer', CELLS)}, {leaf_sql('b', 'customer', EDITED)} SELECT 'removed' AS side, leaf, first_key, last_key FROM a WHERE leaf_hash NOT IN (SELECT leaf_hash FROM b) UNION ALL SELECT 'added', leaf, first_key, last_key FROM b WHERE leaf_hash NOT IN (SELECT leaf_hash FROM a)")
+def leaf_difference(spark, sf_dir):
+    return integrity.leaf_difference(customer_leaves(spark, sf_dir), customer_leaves(spark, sf_dir, True))
+
+
+@query("tree_root")
+def tree_root(spark, sf_dir):
+    return spark.createDataFrame([("customer", integrity.content_root(customer_leaves(spark, sf_dir)))], "table string, root string")
 
 
 @query("zone_map", "SELECT 'o_orderkey' AS \"column\", min(o_orderkey)::DOUBLE AS min, max(o_orderkey)::DOUBLE AS max, 0::BIGINT AS nulls FROM orders UNION ALL SELECT 'o_totalprice', min(o_totalprice), max(o_totalprice), 0 FROM orders")
@@ -280,7 +307,13 @@ ZONES = "s AS (SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_o
 
 
 def zones(spark, sf_dir) -> DataFrame:
-    return stats.segment_zones(stats.segments(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), "o_orderkey")
+    return stats.segment_zones(stats.segments(read(spark, sf_dir, "orders"), "o_orderkey"), "o_orderkey")
+
+
+@query("segment_totals", "WITH s AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1024 AS segment FROM orders) SELECT CAST(segment AS BIGINT) AS segment, round(sum(o_totalprice), 2) AS total, min(o_custkey) AS lo, count(DISTINCT o_orderpriority) AS kinds FROM s GROUP BY segment")
+def segment_totals(spark, sf_dir):
+    s = stats.segments(read(spark, sf_dir, "orders"), "o_orderkey")
+    return s.groupBy("segment").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_custkey").alias("lo"), F.count_distinct("o_orderpriority").alias("kinds"))
 
 
 @query("segment_zone_maps", f"WITH {ZONES} SELECT CAST(segment AS BIGINT) AS segment, lo AS min, hi AS max, 0::BIGINT AS nulls, n AS rows FROM z")
@@ -298,7 +331,10 @@ def unique_ratio(spark, sf_dir):
     return stats.unique_ratio(read(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"])
 
 
-@query("bloom_membership")
+BITS = "list_distinct([('0x' || substr(sha256(c_name), 1, 8))::BIGINT % 256, ('0x' || substr(sha256(c_name), 9, 8))::BIGINT % 256])"
+
+
+@query("bloom_membership", f"WITH b AS (SELECT c_custkey // 16 AS block, unnest({BITS}) AS bit FROM customer), w AS (SELECT DISTINCT unnest({BITS}) AS bit FROM (SELECT 'Customer#000000042' AS c_name) x) SELECT CAST(block AS BIGINT) AS block FROM b WHERE bit IN (SELECT bit FROM w) GROUP BY block HAVING count(DISTINCT bit) = (SELECT count(*) FROM w)")
 def bloom_membership(spark, sf_dir):
     blocks = stats.bloom(read(spark, sf_dir, "customer").withColumn("block", F.floor(F.col("c_custkey") / 16)), "block", "c_name")
     return stats.may_hold(blocks, "Customer#000000042").select("block")
