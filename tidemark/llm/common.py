@@ -22,26 +22,27 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-#: A key with more than one row in so many of a table is hot; there are fewer such keys than that.
-HOT_SHARE = 2000
+#: A key with more than one in so many rows of a table is hot; there are fewer such keys than that.
+HOT_SHARE = 1000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """``left`` joined with ``right`` on the column ``key``, of which ``right`` has each value once at most.
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, which ``right`` has once each, with the number ``n`` of its rows in ``left``.
 
-    Keys that hold more than one in ``HOT_SHARE`` rows of ``left`` are dealt over several tasks:
-    their rows get a salt and their row of ``right`` is repeated for each. The hot keys are at
-    most ``HOT_SHARE`` by their definition, so they are broadcast. Null keys meet nothing.
+    Rows of a hot key are dealt over several tasks by a salt from their other columns, and its row
+    of ``right`` is repeated for each salt. Hot keys are fewer than ``HOT_SHARE`` by definition, so
+    they are broadcast. ``right`` is a written table, as it is read twice; ``n`` is not returned.
     """
-    n = left.count()
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(1000, n // HOT_SHARE))
-    hot = F.broadcast(staged(counts.select(F.col(key).alias("_hot"), F.least(F.lit(HOT_SHARE), F.ceil(F.col("count") * HOT_SHARE / n) + 1).cast("int").alias("_parts")), "hot-keys"))
-    spread = left.join(hot, F.col(key) == F.col("_hot"), "left")
-    own = F.xxhash64(*[F.col(c) for c in left.columns if c != key])  # of the row, so that a task that runs again deals alike
-    spread = spread.withColumn("_salt", F.coalesce(F.pmod(own, F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
-    copies = right.join(hot, F.col(key) == F.col("_hot"), "left")
-    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_hot", "_parts")
-    return spread.join(copies, [key, "_salt"], how).drop("_salt")
+    limit = max(300, (right.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hubs = right.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
+    right = right.drop("n")
+    if hubs.isEmpty():
+        return left.join(right, key, how)
+    own = F.hash(*[F.col(c) for c in left.columns if c != key])
+    salted = left.join(F.broadcast(hubs), key, "left").withColumn("_salt", F.coalesce(F.pmod(own, F.col("_parts")), F.lit(0))).drop("_parts")
+    copies = right.join(F.broadcast(hubs), key, "left")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

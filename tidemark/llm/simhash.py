@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import dropped, salted_join, small_batches, staged, table
+from tidemark.llm.common import dropped, hot_join, small_batches, staged, table
 
 SEGMENTS = 32
 #: Words of a wide fingerprint, cells of its grid and segments of a cell.
@@ -237,22 +237,6 @@ def near_links(nodes: DataFrame, distance: int, wide: bool = False) -> DataFrame
     return met.groupBy("bin", "i", "j").applyInArrow(meet, "a long, b long")
 
 
-def hub_join(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(a, b, m): ``links`` (a, b) with the ``m`` of their a from ``least`` (a, m, n), n the number of its links.
-
-    An a with very many links, the hub of a large group, is dealt over several tasks. There are
-    fewer than 2,000 such ones by the limit taken, so they are broadcast.
-    """
-    limit = max(300, total // 1000)
-    hubs = least.where(F.col("n") > limit).select("a", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    if hubs.isEmpty():
-        return links.join(least.select("a", "m"), "a")
-    hubs = F.broadcast(hubs)
-    salted = links.join(hubs, "a", "left").select("a", "b", F.coalesce(F.pmod(F.hash("b"), F.col("parts")), F.lit(0)).alias("salt"))
-    copies = least.select("a", "m").join(hubs, "a", "left").select("a", "m", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
-    return salted.join(copies, ["a", "salt"]).drop("salt")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable, for every id of ``links`` (a, b) but the roots themselves.
 
@@ -268,10 +252,10 @@ def components(links: DataFrame) -> DataFrame:
         seen, before = print_, stars
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        large = hub_join(both, least, 2 * print_[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = hot_join(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = staged(large, "large-stars")
         mine = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = hub_join(large, mine, print_[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(mine.select("a", F.col("m").alias("b")))
+        small = hot_join(large, mine, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(mine.select("a", F.col("m").alias("b")))
         stars = staged(small.distinct(), "links")
         for df in (before, least, large, mine):
             dropped(df)
@@ -289,12 +273,13 @@ def near_dedup(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str
     an empty result.
     """
     fps = staged(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = staged(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("rep")), "nodes")
+    nodes = staged(fps.where("id IS NOT NULL").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     # a fingerprint is its own node: an id that is repeated with other texts may stand for several
     roots = components(near_links(nodes.select("fp", F.col("fp").alias("rep")), distance))
-    linked = staged(nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "linked")
+    linked = staged(nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return salted_join(fps, linked.join(least, "root").select("fp", "component_id"), "fp", "left").select("id", "fp", "component_id")
+    named = staged(linked.join(least, "root").select("fp", "n", "component_id"), "named")
+    return hot_join(fps, named, "fp", "left").select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
