@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import hot_join, small_batches, staged, table
 from tidemark.llm.textnum import BASE, chunks, mixed, word_hashes
 
 GRAM, WINDOW = 8, 32
@@ -121,7 +121,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, whole): maximal passages of ``least`` or more words that another document has too.
 
-    Words are what stands between ASCII blanks, compared exactly. Of a group of equal texts of that
+    Words are what stands between ASCII blanks, compared by 64-bit hashes of ``least`` words in a row. Of a group of equal texts of that
     length every row is one passage from end to end (``whole``). Every place of a passage is
     returned, the first one too; what repeats only within one document is not. Null and short
     texts, and null ids, have none. Documents are told apart by id: rows that repeat an id with
@@ -129,6 +129,7 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     """
     if least < WINDOW + GRAM - 1:
         raise ValueError(f"fewer than {WINDOW + GRAM - 1} words need not hold a retained position")
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     mine = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), text.alias("text"))
     digests = staged(mine.select("id", F.unhex(F.sha2("text", 256)).alias("digest")).distinct(), "digests")
@@ -137,12 +138,12 @@ def repeated_passages(docs: DataFrame, least: int = 50, id_col: str = "doc_id",
     kept = staged(retained(mine), "retained")
     own = kept.join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     places = own.select("id", F.explode(F.arrays_zip("at", "gram")).alias("p")).select("id", F.col("p.at").alias("at"), F.col("p.gram").alias("gram"))
-    again = places.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
-    chosen = places.join(again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    again = staged(places.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("gram", "n"), "grams")
+    chosen = hot_join(places, again, "gram", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("at"))
     one = mine.join(chosen, "id")
     rows = staged(windows(one.select("id", "text", "at"), least), "windows")
-    twice = rows.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("hash")
-    spans = staged(rows.join(twice, "hash", "left_semi").select("id", "a", (F.col("a") + least).alias("b")), "shared")
+    twice = staged(rows.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("hash", "n"), "recurring")
+    spans = staged(hot_join(rows, twice, "hash", "left_semi").select("id", "a", (F.col("a") + least).alias("b")), "shared")
     line = Window.partitionBy("id").orderBy("a", "b")
     reach = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", (reach.isNull() | (F.col("a") > reach)).cast("int")).withColumn("nth", F.sum("new").over(line))
