@@ -3,7 +3,7 @@
 ``warc`` writes one gzip member per record, with the lengths of the member in a gzip extra field,
 so that a reader inflates a record's headers first and jumps over the rest when nothing asks for
 it. Members without that field, and plain .warc files, are read too. The driver of a write lists
-the files of successful tasks in a manifest; a reader takes those, or all *.warc and *.warc.gz
+the files of successful tasks in a manifest of its own; a reader takes those of all, or all *.warc and *.warc.gz
 files of a folder without manifest, one partition each.
 """
 
@@ -28,10 +28,10 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm.common import FEW_KEYS, hot_join, shared_dir, small_batches, staged, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, payload_bytes long, headers map<string,string>, payload binary"
-MANIFEST = "_warc_manifest.json"
+MANIFEST = "_warc_manifest"  # one file for each write
 #: The columns that are a header's text; filters on them are decided before a block is inflated.
 HEADER_OF = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -105,7 +105,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Files | None]) -> None:
         store, root = pafs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}", compression=None) as f:
+        with store.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}.json", compression=None) as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
 
     def abort(self, messages: list[Files | None]) -> None:
@@ -225,13 +225,16 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[OneFile]:
         store, root = pafs.FileSystem.from_uri(self.path)
-        listed = store.get_file_info(f"{root}/{MANIFEST}")
-        if listed.type == pafs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                return [OneFile(f"{root}/{n}") for n in json.loads(f.read())]
         if store.get_file_info(root).type == pafs.FileType.File:
             return [OneFile(root)]
-        return [OneFile(x.path) for x in store.get_file_info(pafs.FileSelector(root, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
+        found = store.get_file_info(pafs.FileSelector(root, recursive=True))
+        names = []
+        for x in (x for x in found if x.base_name.startswith(MANIFEST)):
+            with store.open_input_stream(x.path) as f:
+                names += [f"{root}/{n}" for n in json.loads(f.read())]
+        if names or any(x.base_name.startswith(MANIFEST) for x in found):
+            return [OneFile(n) for n in sorted(names)]
+        return [OneFile(x.path) for x in found if x.path.endswith((".warc", ".warc.gz"))]
 
     def passes(self, headers: dict[str, str]) -> bool:
         for name, values in self.tests:
@@ -277,7 +280,7 @@ class WarcReader(DataSourceReader):
                 http = parsed(rec.block[:end]) if end >= 0 else {}
                 payload = rec.block[end + 4 :] if end >= 0 else rec.block
                 n_bytes = int(http.get("content-length", len(payload))) if h.get("warc-type") == "revisit" else len(payload)
-            if self.verify and h.get("warc-type") == "response" and h.get("warc-payload-digest", "").removeprefix("sha1:") != base32_sha1(payload):
+            if self.verify and h.get("warc-type") == "response" and h.get("warc-payload-digest", "").startswith("sha1:") and h["warc-payload-digest"][5:] != base32_sha1(payload):
                 raise ValueError(f"payload of {h.get('warc-record-id')} does not have its digest")
         values = {c: h.get(k) for c, k in HEADER_OF.items()}
         if values["payload_digest"]:
@@ -322,19 +325,25 @@ def archive(pages: DataFrame, path: str, least: int = 0, id_col: str = "page_id"
     Of equal payloads of at least ``least`` bytes the row with the largest id is the response and
     the others are revisits of it; shorter payloads are all responses. Null payloads are empty
     ones, null URIs are left out, null ids lose against any other. Rows that repeat an id with
-    its payload are alike. The winners are a sum of the table by digest, made before the shuffle;
-    the join back is one that adaptive execution may split where one payload has very many rows.
+    ones, null URIs are left out, null ids lose against any other. Rows that repeat an id with
+    its payload are alike; of ties none is a revisit of itself. Payloads are equal when their
+    SHA-256 and lengths are. Only payloads that recur meet the table again: few of them are
+    broadcast, more are joined with hot ones dealt over several tasks. An empty table gives an
+    archive without files.
     """
     body = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
     rows = pages.select(pages[id_col].alias("id"), pages[uri_col].alias("target_uri"), body.alias("body")).withColumns({"digest": F.sha1("body"), "payload_bytes": F.octet_length("body").cast("long")})
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max("id").alias("first"))
-    both = rows.join(first, "digest", "left")
+    rows = rows.withColumn("key", F.concat(F.sha2("body", 256), F.col("payload_bytes").cast("string")))
+    many = rows.where(F.col("payload_bytes") >= least).groupBy("key").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = staged(many, "payloads").withColumn("met", F.lit(True))
+    both = rows.join(F.broadcast(many.drop("n")), "key", "left") if many.count() <= FEW_KEYS // 8 else hot_join(rows, many, "key", "left")
     urn = lambda c: F.format_string("<urn:record:%s>", F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    revisit = (F.col("payload_bytes") >= least) & ~F.col("id").eqNullSafe(F.col("first"))
+    revisit = F.col("met").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     out = both.select(
         urn("id").alias("record_id"), "target_uri", F.when(~revisit, F.col("body")).alias("payload"), "payload_bytes", base32_of_hex(F.col("digest")).alias("payload_digest"), F.when(revisit, urn("first")).alias("refers_to")
     )
     register(pages.sparkSession)
+    small_batches(pages.sparkSession)
     out.write.format("warc").mode("append").option("path", path).save()
 
 
