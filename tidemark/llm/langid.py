@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bucket_of, table
+from tidemark.llm.common import bucket_of, small_batches, table
 
 WINDOW, HIDDEN, BATCH = 64, 8, 2048
 #: Bound of the documents that the model is fitted on (each language's first ones come first),
@@ -150,7 +150,7 @@ def trained(sample: list[tuple[str, str]]) -> Network:
     texts, y = [], []
     for text, lang in sample:
         raw = text.encode("utf-8", "surrogatepass")
-        for a in r.integers(0, max(1, len(raw) - WINDOW), FROM_EACH if len(raw) > WINDOW else 1):
+        for a in r.integers(0, max(1, len(raw) - WINDOW + 1), FROM_EACH if len(raw) > WINDOW else 1):
             if raw:
                 texts.append(raw[a : a + WINDOW])
                 y.append(languages.index(lang))
@@ -164,7 +164,8 @@ def language_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang
     """At most ``rows`` (text, language) of documents outside the held-out fold.
 
     Ids are chosen first, by a hash within each language, so that every language is there as long
-    as there are fewer than ``rows``; only they are broadcast, and only their texts collected.
+    as there are fewer than ``rows``; only they are broadcast, and only their texts collected. An
+    id that is repeated gives one text for each of its languages, that of the least hash.
     """
     known = docs.where(docs[id_col].isNotNull() & docs[lang_col].isNotNull() & (bucket_of(docs[id_col], MOD) != HELD_OUT)).select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.xxhash64(docs[id_col]).alias("h"))
     # a language may hold most rows: counts by range of hashes say in which ranges its first ones lie
@@ -174,15 +175,20 @@ def language_sample(docs: DataFrame, rows: int, id_col: str, text_col: str, lang
     first = known.join(ranges, ["lang", "part"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
     chosen = first.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("nth", "h", "id", "lang").limit(rows).select("id", "lang").distinct()
-    found = docs.join(F.broadcast(chosen), (docs[id_col] == chosen["id"]) & (docs[lang_col] == chosen["lang"]), "left_semi")
-    return [(t, lang) for _, t, lang in sorted((r[0], r[1] or "", r[2]) for r in found.select(docs[id_col], docs[text_col], docs[lang_col]).collect())][: 2 * rows]
+    mine = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    found = mine.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return [(r["text"], r["lang"]) for r in sorted(found.collect(), key=lambda r: (r["id"], r["lang"]))]
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row, from its whole text alone.
 
     Null, empty and letterless texts are ``und`` with score 0, as is every text when no row has a
-    language. The network, some 60 KB whatever the data, goes to the executors.
+    language. The network, some 60 KB whatever the data, goes to the executors. Very long texts
+    are read whole, window by window. Repeated rows have equal results; of languages with equal
+    probabilities the first by code point is taken. Other columns, whatever their names, are not
+    looked at. An empty table gives an empty result. It is fitted on ``rows`` documents at most,
+    and on ``FROM_EACH`` windows of each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained(language_sample(docs, rows, id_col, text_col, lang_col)))
 
@@ -193,6 +199,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names, scores = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(each, f"id {kind}, lang_pred string, score double")
     return out.select("id", (bucket_of(F.col("id"), MOD) == HELD_OUT).alias("held_out"), "lang_pred", "score")
