@@ -31,8 +31,8 @@ def rows_of(folder: str, label: str, mod: int, held_out: int) -> list[tuple[int,
     return sorted(kept)
 
 
-def loss(job: tuple[str, str, dict]) -> float:
-    """Mean log loss on the validation quarter."""
+def measured(job: tuple[str, str, dict]) -> tuple[float, float]:
+    """Share of wrong predictions and mean log loss on the validation quarter."""
     folder, label, setting = job
     module = quality if label == "quality" else toxicity
     for k, v in setting.items():
@@ -45,15 +45,15 @@ def loss(job: tuple[str, str, dict]) -> float:
         z = np.array([model[at] @ v for at, v in quality.features(list(texts))]) + model[-1]
     else:
         z = np.array([model[0][toxicity.grams(t)].sum(dtype=np.float64) for t in texts]) + model[1]
-    return float(np.mean(np.logaddexp(0, -z * (2 * np.array(y) - 1))))
+    return float(np.mean((z >= 0) != np.array(y))), float(np.mean(np.logaddexp(0, -z * (2 * np.array(y) - 1))))
 
 
 def main(folder: str) -> None:
     with ProcessPoolExecutor() as pool:
         for label, grid in GRIDS.items():
             settings = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
-            for found, setting in sorted(zip(pool.map(loss, [(folder, label, s) for s in settings]), settings, strict=True), key=lambda x: x[0]):
-                print(label, round(found, 5), setting)
+            for found, setting in sorted(zip(pool.map(measured, [(folder, label, s) for s in settings]), settings, strict=True), key=lambda x: x[0]):
+                print(label, [round(x, 5) for x in found], setting)
 
 
 if __name__ == "__main__":

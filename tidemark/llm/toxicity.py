@@ -19,7 +19,7 @@ BITS, SIZES = 18, (3, 4, 5)
 #: Bound of the labelled rows that the model is fitted on, and the fold that is held out.
 SAMPLE, MOD, HELD_OUT = 4000, 5, 0
 #: Chosen on a validation part of the training folds, see ``selection``.
-STEPS, RATE, PENALTY, PRIOR = 64, 0.012, 1e-2, 1.0
+STEPS, RATE, PENALTY, PRIOR = 64, 0.012, 1e-3, 1.0
 
 
 def grams(text: str | None) -> np.ndarray:
