@@ -17,3 +17,10 @@ def diff_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     b = after.select(after[key].cast("string").alias("key"), row_hash(after).alias("after_hash"))
     kind = F.when(F.col("before_hash").isNull(), "added").when(F.col("after_hash").isNull(), "removed").otherwise("modified")
     return a.join(b, "key", "full_outer").where(~F.col("before_hash").eqNullSafe(F.col("after_hash"))).withColumn("kind", kind)
+
+
+def seal_of(df: DataFrame) -> tuple[int, str]:
+    """(rows, sum of 60 bits of each row's hash): alike for equal rows in any order."""
+    part = F.conv(F.substring(row_hash(df), 1, 15), 16, 10).cast("decimal(38,0)")
+    n, total = df.agg(F.count(F.lit(1)), F.sum(part)).first()
+    return n, str(total)

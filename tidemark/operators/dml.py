@@ -13,12 +13,14 @@ def insert(df: DataFrame, new: DataFrame, key: str, overwrite: bool = True) -> D
     return df.join(new.select(key), key, "left_anti").select(df.columns).unionByName(new, allowMissingColumns=True)
 
 
-def upsert(df: DataFrame, new: DataFrame, key: str, on_conflict: str = "nothing", sets: dict[str, str | Column] | None = None) -> DataFrame:
+def upsert(df: DataFrame, new: DataFrame, key: str, on_conflict: str = "nothing", sets: dict[str, str | Column] | None = None, target: str | None = None) -> DataFrame:
     """New keys are inserted; rows with a known key stay, or have ``sets`` applied.
 
     A value of ``sets`` is a column name of the new row, or an expression of the columns of
-    ``new`` under ``excluded_``.
+    ``new`` under ``excluded_``. A conflict ``target``, if one is named, must be the key.
     """
+    if target not in (None, key):
+        raise ValueError(f"the conflict target {target} is not the key {key}")
     fresh = new.join(df.select(key), key, "left_anti")
     if on_conflict == "nothing":
         return df.unionByName(fresh, allowMissingColumns=True)

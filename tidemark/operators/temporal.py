@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,14 @@ def quorum_lsn(acks: DataFrame, group: str, acceptors: int) -> DataFrame:
     return each.groupBy(group).agg(F.try_element_at(F.sort_array(F.collect_list("lsn"), asc=False), F.lit(need)).alias("commit_lsn"))
 
 
-def replay_at(log: DataFrame, page: str, lsn: str, kind: str, delta: str, at: int) -> DataFrame:
+def replay_at(log: DataFrame, page: str, lsn: str, kind: str, delta: str, at: int, cutoff: int | None = None) -> DataFrame:
     """(page, image): each page's last replacement up to ``at`` and what was appended behind it, in order.
 
     Only the records from the last replacement on are gathered; how many there are is what
-    compaction bounds.
+    compaction bounds. Below the ``cutoff`` of a compaction the log is gone, so reading there is an error.
     """
+    if cutoff is not None and at < cutoff:
+        raise ValueError(f"position {at} is below the cutoff {cutoff}")
     seen = log.where(F.col(lsn) <= at)
     base = seen.where(F.col(kind) == "replace").groupBy(page).agg(F.max(lsn).alias("_from"))
     live = seen.join(base, page, "left").where(F.col("_from").isNull() | (F.col(lsn) >= F.col("_from")))
@@ -51,3 +53,19 @@ def compact(log: DataFrame, page: str, lsn: str, kind: str, delta: str, at: int)
 def lag(heads: DataFrame, written: str, applied: str, limit: int = 1024) -> DataFrame:
     behind = F.col(written) - F.col(applied)
     return heads.withColumns({"lag": behind, "rejected": behind > limit})
+
+
+def follow(known: DataFrame, updates: DataFrame, group: str) -> DataFrame:
+    """(group, closed): a follower's closed timestamps after updates that may come late or twice; none goes back."""
+    return known.select(group, "closed").unionByName(updates.select(group, "closed")).groupBy(group).agg(F.max("closed").alias("closed"))
+
+
+def read_gate(ranges: DataFrame, read_ts: int) -> DataFrame:
+    """``ranges`` with ``admitted``: whether a read at ``read_ts`` sees all that can be; unknown timestamps admit nothing."""
+    return ranges.withColumn("admitted", F.coalesce(F.col("closed") >= read_ts, F.lit(False)))
+
+
+def fenced(log: DataFrame, group: str, lsn: str, epoch: str) -> DataFrame:
+    """``log`` with ``accepted``: a writer of an older epoch than one seen before it, in order of positions, is fenced off."""
+    so_far = F.max(epoch).over(Window.partitionBy(group).orderBy(lsn).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return log.withColumn("accepted", F.coalesce(F.col(epoch) >= so_far, F.lit(False)))

@@ -8,16 +8,18 @@ of numbered files; publishing creates the next number exclusively, so of two wri
 from __future__ import annotations
 
 import hashlib
+import heapq
+import itertools
 import json
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.diff import diff_rows
+from tidemark.operators.diff import diff_rows, seal_of
 from tidemark.plans.paths import Conflict, Files
 
 
@@ -33,11 +35,13 @@ class Store:
         self._reload()
 
     # manifests and pointers
-    def _publish(self, parent: str | None, author: str, message: str, tables: dict) -> str:
+    def _publish(self, parent: str | None, author: str, message: str, tables: dict, merged: str | None = None) -> str:
+        """A manifest; its root follows from the tables' rows and schemas alone, so equal content has equal roots."""
         ts = self.clock()
-        root = hashlib.sha256(json.dumps({t: v["path"] for t, v in tables.items()}, sort_keys=True).encode()).hexdigest() if tables else "0" * 64
+        root = hashlib.sha256(json.dumps({t: [v["seal"], v["schema"]] for t, v in tables.items()}, sort_keys=True).encode()).hexdigest() if tables else "0" * 64
+        # fixed values: the id is the SHA-256 of parent, root, author, message and time as eight bytes, the lowest first
         name = hashlib.sha256(b"".join([(parent or "").encode(), root.encode(), author.encode(), message.encode(), ts.to_bytes(8, "little", signed=True)])).hexdigest()
-        self.files.create(f"{self.path}/commits/{name}.json", json.dumps({"id": name, "parent": parent, "root": root, "author": author, "message": message, "ts": ts, "tables": tables}))
+        self.files.create(f"{self.path}/commits/{name}.json", json.dumps({"id": name, "parent": parent, "merged": merged, "root": root, "author": author, "message": message, "ts": ts, "tables": tables}))
         return name
 
     def _numbers(self, branch: str) -> list[str]:
@@ -60,12 +64,36 @@ class Store:
         except Exception as e:
             raise KeyError(f"no commit {commit}") from e
 
-    def chain(self, commit: str | None = None) -> list[dict]:
-        found, at = [], commit or self.head()
+    def chain(self, commit: str | None = None) -> Iterator[dict]:
+        """Manifests from a commit to its first ancestor, each read when it is asked for."""
+        at = commit or self.head()
         while at:
-            found.append(self.manifest(at))
-            at = found[-1]["parent"]
-        return found
+            yield (found := self.manifest(at))
+            at = found["parent"]
+
+    def ancestors(self, commit: str) -> Iterator[dict]:
+        """The commit and all before it over both parents of merges, latest first, each read when it is asked for."""
+        first = self.manifest(commit)
+        ahead, seen = [(-first["ts"], commit, first)], {commit}
+        while ahead:
+            _, _, m = heapq.heappop(ahead)
+            yield m
+            for p in (m["parent"], m.get("merged")):
+                if p and p not in seen:
+                    seen.add(p)
+                    before = self.manifest(p)
+                    heapq.heappush(ahead, (-before["ts"], p, before))
+
+    def common_ancestor(self, a: str, b: str) -> dict:
+        """The latest commit that both come from; the two lines are read no further than to it."""
+        seen: list[set[str]] = [set(), set()]
+        for pair in itertools.zip_longest(self.ancestors(a), self.ancestors(b)):
+            for side, m in enumerate(pair):
+                if m:
+                    seen[side].add(m["id"])
+                    if m["id"] in seen[1 - side]:
+                        return m
+        raise KeyError("no common ancestor")
 
     # the working set
     def _reload(self) -> None:
@@ -112,7 +140,10 @@ class Store:
         self._snapshot = None
 
     # versions
-    def commit(self, message: str = "(no message)", author: str = "tidemark") -> str:
+    def dirty(self) -> bool:
+        return self.working.keys() != self._clean.keys() or any(self._clean[n] is not df for n, df in self.working.items())
+
+    def commit(self, message: str = "(no message)", author: str = "tidemark", merged: str | None = None) -> str:
         """Write the tables that changed and publish; Conflict when the branch moved since it was read."""
         tables = {}
         for name, df in self.working.items():
@@ -121,10 +152,11 @@ class Store:
                 continue
             path = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
             df.write.parquet(path)
-            tables[name] = {"path": path, "schema": json.loads(df.schema.json()), "key": self.keys[name]}
+            n, total = seal_of(self.spark.read.schema(df.schema).parquet(path))
+            tables[name] = {"path": path, "schema": json.loads(df.schema.json()), "key": self.keys[name], "seal": [n, total]}
         if len(self._numbers(self.branch)) != self._base_n:
             raise Conflict(self.branch)
-        made = self._publish(self._base["id"], author, message, tables)
+        made = self._publish(self._base["id"], author, message, tables, merged)
         self._point(self.branch, made, self._base_n)
         self._reload()
         return made
@@ -141,17 +173,29 @@ class Store:
     def merge(self, source: str) -> str:
         """Fast-forward the current branch to ``source``; the current head must be its ancestor."""
         target = self.head(source)
-        if self.head() not in [m["id"] for m in self.chain(target)]:
+        mine = self.manifest(self.head())
+        if not any(m["id"] == mine["id"] for m in itertools.takewhile(lambda m: m["ts"] >= mine["ts"], self.ancestors(target))):
             raise Conflict(f"{self.branch} is no ancestor of {source}")
         self._point(self.branch, target, len(self._numbers(self.branch)))
         self._reload()
         return target
 
     def merge_three_way(self, source: str, author: str = "tidemark") -> str:
-        """Merge rows that one side changed since the common ancestor; Conflict when both changed a row differently."""
-        theirs, ours = self.chain(self.head(source)), [m["id"] for m in self.chain()]
-        base = next(m for m in theirs if m["id"] in ours)
-        for name, entry in theirs[0]["tables"].items():
+        """Merge rows that one side changed since the latest common commit; Conflict when both changed a row differently.
+
+        The commit has both heads as parents, so a later merge starts from here. A table that the
+        source dropped goes if this side has not changed it. Edits that are not committed are an error.
+        """
+        if self.dirty():
+            raise RuntimeError("there are edits that are not committed")
+        head = self.manifest(self.head(source))
+        base = self.common_ancestor(head["id"], self.head())
+        for name in base["tables"].keys() - head["tables"].keys():
+            if name in self.working and self._base["tables"][name]["path"] == base["tables"][name]["path"]:
+                self.drop(name)
+        for name, entry in head["tables"].items():
+            if name in base["tables"] and entry["path"] == base["tables"][name]["path"]:
+                continue
             their, key = self._read(entry), entry["key"]
             if name not in self.working:
                 self.working[name], self.keys[name] = their, key
@@ -166,7 +210,7 @@ class Store:
             kept = mine.join(touched, mine[key].cast("string") == touched["key"], "left_anti")
             fresh = their.join(touched, their[key].cast("string") == touched["key"], "left_semi")
             self.working[name] = kept.unionByName(fresh)
-        return self.commit(f"merge {source}", author)
+        return self.commit(f"merge {source}", author, head["id"])
 
     def as_of(self, name: str, commit: str) -> DataFrame:
         return self._read(self.manifest(commit)["tables"][name])
@@ -178,7 +222,7 @@ class Store:
         return self._read(found["tables"][name])
 
     def log(self, limit: int = 20) -> DataFrame:
-        rows = [(m["id"][:12], m["author"], m["message"], time.strftime("%Y-%m-%d %H:%M:%S UTC", time.gmtime(m["ts"] // 10**9)), i) for i, m in enumerate(self.chain()[:limit])]
+        rows = [(m["id"][:12], m["author"], m["message"], time.strftime("%Y-%m-%d %H:%M:%S UTC", time.gmtime(m["ts"] // 10**9)), i) for i, m in enumerate(itertools.islice(self.chain(), limit))]
         return self.spark.createDataFrame(rows, "commit_id string, author string, message string, timestamp string, nth int")
 
     def branches(self) -> DataFrame:

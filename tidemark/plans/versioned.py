@@ -388,6 +388,24 @@ def replication_lag(spark, sf_dir):
     return temporal.lag(heads, "w", "a").select("user_id", "lag", "rejected")
 
 
+@query("follower_update", "SELECT user_id, max(event_id) AS closed FROM events WHERE event_type <> 'click' OR event_id % 2 = 0 GROUP BY user_id")
+def follower_update(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("closed"), "event_type")
+    return temporal.follow(e.where("event_type <> 'click'"), e.where("event_type = 'click' AND closed % 2 = 0"), "user_id")
+
+
+@query("read_gate", "SELECT user_id, max(event_id) >= 500 AS admitted FROM events GROUP BY user_id")
+def read_gate(spark, sf_dir):
+    r = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("closed"))
+    return temporal.read_gate(r, 500).select("user_id", "admitted")
+
+
+@query("writer_fencing", "SELECT event_id, e >= max(e) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS accepted FROM (SELECT event_id, user_id, event_id // 100 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS e FROM events) x")
+def writer_fencing(spark, sf_dir):
+    epoch = F.floor(F.col("event_id") / 100) + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    return temporal.fenced(read(spark, sf_dir, "events").select("event_id", "user_id", epoch.alias("epoch")), "user_id", "event_id", "epoch").select("event_id", "accepted")
+
+
 @query("hash_shard")
 def hash_shard(spark, sf_dir):
     key = F.col("c_custkey").cast("string")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.diff import row_hash
+from tidemark.operators.diff import seal_of
 from tidemark.plans.paths import Files
 
 
@@ -49,12 +49,6 @@ def backup(spark: SparkSession, tables: dict[str, DataFrame], path: str, name: s
     Files(spark).create(f"{path}/{name}/MANIFEST.json", json.dumps({"name": name, "tables": entries}))
 
 
-def seal_of(df: DataFrame) -> tuple[int, str]:
-    part = F.conv(F.substring(row_hash(df), 1, 15), 16, 10).cast("decimal(38,0)")
-    n, total = df.agg(F.count(F.lit(1)), F.sum(part)).first()
-    return n, str(total)
-
-
 def restore(spark: SparkSession, path: str, name: str) -> dict[str, DataFrame]:
     """Tables of a backup; an error when rows are not those that were written."""
     found = {}
