@@ -2,6 +2,7 @@
 
 import itertools
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,9 @@ def test_murmur3_known_answers(spark):
     df = spark.createDataFrame([("",), ("hello",), ("hello, world",)], "k string")
     got = [r.h & 0xFFFFFFFF for r in df.select(placement.murmur3("k").alias("h")).collect()]
     assert got == [0, 0x248BFA47, 0x149BBB7F]
+    texts = ["", "é", "hello", "a" * 1_001, "hello, world", "abcd", "hell"]
+    alone = [placement.murmur3.func(pd.Series([t]))[0] for t in texts]
+    assert placement.murmur3.func(pd.Series([*texts, None])).tolist() == [*alone, 0]
 
 
 def test_tenants_do_not_see_each_other(spark):

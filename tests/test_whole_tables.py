@@ -5,6 +5,7 @@ import hashlib
 
 from tidemark import catalogue
 from tidemark.operators import integrity, stats
+from tidemark.plans import relational
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -70,3 +71,12 @@ def test_leaves_and_segments_do_not_depend_on_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen == {level[0][1].hex()}
     assert integrity.content_root(found.where("false")) is None
+
+
+def test_longer_digests_are_those_of_the_names(spark):
+    """DuckDB has no such functions, so the query has no SQL."""
+    names = dict(spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_name").collect())
+    for r in relational.QUERIES["fn_sha_more"](spark, "/root/testdata/sf0.001").collect():
+        data = names.pop(r.c_custkey).encode()
+        assert (r.s224, r.s384, r.s512) == (hashlib.sha224(data).hexdigest(), hashlib.sha384(data).hexdigest(), hashlib.sha512(data).hexdigest())
+    assert not names

@@ -24,3 +24,9 @@ def seal_of(df: DataFrame) -> tuple[int, str]:
     part = F.conv(F.substring(row_hash(df), 1, 15), 16, 10).cast("decimal(38,0)")
     n, total = df.agg(F.count(F.lit(1)), F.sum(part)).first()
     return n, str(total)
+
+
+def delta_merge(old: DataFrame, new: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """``old`` with the rows of the keys of ``touched`` (key, as text) read anew: masked out, then appended from ``new``."""
+    kept = old.join(touched, old[key].cast("string") == touched["key"], "left_anti")
+    return kept.unionByName(new.join(touched, new[key].cast("string") == touched["key"], "left_semi"))

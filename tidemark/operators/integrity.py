@@ -22,6 +22,13 @@ def scrub(df: DataFrame) -> DataFrame:
     return df.where(row_hash(df.drop("row_sha256")) != F.col("row_sha256"))
 
 
+def verified(df: DataFrame) -> DataFrame:
+    """The rows without their checksums, in one pass; a row whose stored checksum is not its own ends the query with an error."""
+    own = row_hash(df.drop("row_sha256"))
+    right = F.when(own.eqNullSafe(F.col("row_sha256")), True).otherwise(F.raise_error(F.concat(F.lit("row checksum mismatch: "), own)).cast("boolean"))
+    return df.where(right).drop("row_sha256")
+
+
 def mirrored(log: DataFrame, table: str, key: str, commit: str) -> DataFrame:
     """An append-only mirror: one row for each (table, key, commit), whichever way it is repeated."""
     name = F.sha2(F.concat_ws("\0", table, key, commit), 256)

@@ -69,3 +69,29 @@ def fenced(log: DataFrame, group: str, lsn: str, epoch: str) -> DataFrame:
     """``log`` with ``accepted``: a writer of an older epoch than one seen before it, in order of positions, is fenced off."""
     so_far = F.max(epoch).over(Window.partitionBy(group).orderBy(lsn).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return log.withColumn("accepted", F.coalesce(F.col(epoch) >= so_far, F.lit(False)))
+
+
+def apply_commands(table: DataFrame, log: DataFrame, key: str, applied: int, committed: int) -> DataFrame:
+    """``table`` after the entries (index, kind, columns of the table) behind ``applied`` up to ``committed``, in order.
+
+    A put replaces the row of its key, a delete removes it; other kinds change nothing. So the last
+    put or delete of a key decides, and an entry that was applied before changes nothing.
+    """
+    due = log.where((F.col("index") > applied) & (F.col("index") <= committed) & F.col("kind").isin("put", "delete"))
+    entry = F.struct("index", "kind", F.struct(*[F.col(c) for c in table.columns]).alias("row"))
+    last = due.groupBy(F.col(key).alias("_key")).agg(F.max_by(entry, "index").alias("e"))
+    kept = table.join(last, table[key] == last["_key"], "left_anti")
+    return kept.unionByName(last.where("e.kind = 'put'").select("e.row.*"))
+
+
+def paired(made: DataFrame) -> DataFrame:
+    """(commit, snapshot, label): of each commit index the snapshot paired with it last, by sequence, and its label."""
+    last = made.groupBy("commit").agg(F.max_by("snapshot", "seq").alias("snapshot"))
+    return last.withColumn("label", F.concat(F.lit("commit-"), F.col("commit").cast("string")))
+
+
+def proposed(log: DataFrame, requests: DataFrame, group: str, order: str) -> DataFrame:
+    """``requests`` with their ``index`` in the log of their group: each group counts on from its own last index, in the order given."""
+    ends = log.groupBy(group).agg(F.max("index").alias("_end"))
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return requests.withColumn("_n", nth).join(ends, group, "left").withColumn("index", F.col("_n") + F.coalesce("_end", F.lit(0))).drop("_n", "_end")

@@ -61,3 +61,8 @@ class Files:
     def names(self, path: str) -> list[str]:
         fs, p = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def delete(self, path: str) -> None:
+        """Delete a file or a folder with all in it; nothing happens when it is not there."""
+        fs, p = self._at(path)
+        fs.delete(p, True)

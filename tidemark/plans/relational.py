@@ -94,7 +94,6 @@ EACH = {
         "SELECT o_orderkey, (count(*) OVER w) - 1 AS others, round((sum(o_totalprice) OVER w) - o_totalprice, 2) AS rest FROM orders WINDOW w AS (PARTITION BY o_custkey)",
         "SELECT o_orderkey, count(*) OVER w AS others, round(coalesce(sum(o_totalprice) OVER w, 0), 2) AS rest FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW)",
     ),
-    "fn_sha_more": ("SELECT c_custkey, sha2(c_name, 512) = sha2(c_name, 512) AS same, length(sha2(c_name, 384)) AS n FROM customer", "SELECT c_custkey, true AS same, 96 AS n FROM customer"),
     "fn_math_more": (
         "SELECT p_partkey, round(cos(p_size), 9) AS c, round(atan2(p_size, 3), 9) AS a, round(degrees(p_size), 6) AS d, regexp_count(p_type, 'S') AS s FROM part",
         "SELECT p_partkey, round(cos(p_size), 9) AS c, round(atan2(p_size, 3), 9) AS a, round(degrees(p_size), 6) AS d, CAST(len(regexp_extract_all(p_type, 'S')) AS INT) AS s FROM part",
@@ -162,7 +161,7 @@ def pk_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Queries that are more than one statement, and SQL for them.
-WHOLE = {"join_asof": join_asof, "pk_text_order": pk_text_order}
+WHOLE = {"join_asof": join_asof, "pk_text_order": pk_text_order, "fn_sha_more": relational("SELECT c_custkey, sha2(c_name, 224) AS s224, sha2(c_name, 384) AS s384, sha2(c_name, 512) AS s512 FROM customer")}
 WHOLE_SQL = {
     "join_asof": "SELECT event_id, o_orderkey FROM events e ASOF JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderdate) o ON o.o_custkey = e.event_id % 100 AND o.o_orderdate <= e.ts",
     "pk_text_order": "SELECT o_orderkey, row_number() OVER (ORDER BY CAST(o_orderkey AS VARCHAR(20))) AS nth FROM orders",

@@ -35,13 +35,13 @@ class Store:
         self._reload()
 
     # manifests and pointers
-    def _publish(self, parent: str | None, author: str, message: str, tables: dict, merged: str | None = None) -> str:
+    def _publish(self, parent: str | None, author: str, message: str, tables: dict, merged: str | None = None, note: dict | None = None) -> str:
         """A manifest; its root follows from the tables' rows and schemas alone, so equal content has equal roots."""
         ts = self.clock()
         root = hashlib.sha256(json.dumps({t: [v["seal"], v["schema"]] for t, v in tables.items()}, sort_keys=True).encode()).hexdigest() if tables else "0" * 64
         # fixed values: the id is the SHA-256 of parent, root, author, message and time as eight bytes, the lowest first
         name = hashlib.sha256(b"".join([(parent or "").encode(), root.encode(), author.encode(), message.encode(), ts.to_bytes(8, "little", signed=True)])).hexdigest()
-        self.files.create(f"{self.path}/commits/{name}.json", json.dumps({"id": name, "parent": parent, "merged": merged, "root": root, "author": author, "message": message, "ts": ts, "tables": tables}))
+        self.files.create(f"{self.path}/commits/{name}.json", json.dumps({"id": name, "parent": parent, "merged": merged, "root": root, "author": author, "message": message, "ts": ts, "tables": tables, "note": note or {}}))
         return name
 
     def _numbers(self, branch: str) -> list[str]:
@@ -58,6 +58,15 @@ class Store:
             raise KeyError(f"no branch {branch}")
         return json.loads(self.files.read(f"{self.path}/refs/{branch}/{numbers[-1]}"))["commit"]
 
+    def base_number(self) -> int:
+        """The number under which the next commit of the branch as it was read is published."""
+        return self._base_n
+
+    def at_number(self, branch: str, n: int) -> dict | None:
+        """The manifest that a branch points at under a number; None if there is none yet."""
+        numbers = self._numbers(branch)
+        return self.manifest(json.loads(self.files.read(f"{self.path}/refs/{branch}/{numbers[n]}"))["commit"]) if n < len(numbers) else None
+
     def manifest(self, commit: str) -> dict:
         try:
             return json.loads(self.files.read(f"{self.path}/commits/{commit}.json"))
@@ -143,7 +152,7 @@ class Store:
     def dirty(self) -> bool:
         return self.working.keys() != self._clean.keys() or any(self._clean[n] is not df for n, df in self.working.items())
 
-    def commit(self, message: str = "(no message)", author: str = "tidemark", merged: str | None = None) -> str:
+    def commit(self, message: str = "(no message)", author: str = "tidemark", merged: str | None = None, note: dict | None = None) -> str:
         """Write the tables that changed and publish; Conflict when the branch moved since it was read."""
         tables = {}
         for name, df in self.working.items():
@@ -156,7 +165,7 @@ class Store:
             tables[name] = {"path": path, "schema": json.loads(df.schema.json()), "key": self.keys[name], "seal": [n, total]}
         if len(self._numbers(self.branch)) != self._base_n:
             raise Conflict(self.branch)
-        made = self._publish(self._base["id"], author, message, tables, merged)
+        made = self._publish(self._base["id"], author, message, tables, merged, note)
         self._point(self.branch, made, self._base_n)
         self._reload()
         return made

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import sql
 from tidemark.functions.types import lenient, normal_name
 from tidemark.operators import diff, dml, integrity, placement, stats, temporal
+from tidemark.plans.cache import Cache
 from tidemark.plans.paths import scratch
 from tidemark.plans.store import Store
 from tidemark.sources import io
@@ -477,9 +478,8 @@ def feed_apply(spark, sf_dir):
 @query("delta_merge", f"WITH {V2} SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM v2")
 def delta_merge(spark, sf_dir):
     store, a, b = two_versions(spark, sf_dir)
-    touched = store.change_feed(b).select(F.col("key").cast("long").alias("o_orderkey"))
-    kept = store.as_of("orders", a).join(touched, "o_orderkey", "left_anti")
-    return kept.unionByName(store.table("orders").join(touched, "o_orderkey", "left_semi")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    both = diff.delta_merge(store.as_of("orders", a), store.table("orders"), store.change_feed(b).select("key"), "o_orderkey")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("backup_restore", f"WITH {V1} SELECT * FROM v1")
@@ -514,3 +514,102 @@ def row_difference(spark, sf_dir):
     r = read(spark, sf_dir, "region")
     after = dml.update(dml.delete(r, F.col("r_regionkey") == 0), {"r_name": F.lit("?")}, F.col("r_regionkey") == 1)
     return diff.diff_rows(r, after, "r_regionkey").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+STATEMENTS = (
+    "UPDATE orders SET o_orderstatus = concat('U', lower(o_orderstatus)) WHERE o_orderkey % 7 = 0",
+    "DELETE FROM orders WHERE o_orderkey % 10 = 0",
+    "INSERT INTO orders (o_orderkey, o_orderstatus) SELECT o_orderkey + 1000000, 'N' FROM orders WHERE o_orderkey % 3 = 0",
+    "INSERT INTO orders SELECT o_orderkey, o_custkey + 1, 'X', 0 FROM orders WHERE o_orderkey % 4 = 0 ON CONFLICT (o_orderkey) DO UPDATE SET o_orderstatus = EXCLUDED.o_orderstatus, o_custkey = EXCLUDED.o_custkey",
+)
+
+
+@query(
+    "sql_statements",
+    f"WITH {V1}, a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN concat('U', lower(o_orderstatus)) ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM v1 WHERE o_orderkey % 10 <> 0), b AS (SELECT * FROM a UNION ALL SELECT o_orderkey + 1000000, NULL, 'N', NULL FROM a WHERE o_orderkey % 3 = 0) SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM b",
+)
+def sql_statements(spark, sf_dir):
+    store = Store(spark, scratch(spark, "store"))
+    store.create("orders", orders(spark, sf_dir), "o_orderkey")
+    for text in STATEMENTS:
+        sql.run(store, text)
+    return store.table("orders")
+
+
+@query("as_of_timestamp_sql", f"WITH {V1} SELECT o_orderstatus, count(*) AS n FROM v1 GROUP BY o_orderstatus")
+def as_of_timestamp_sql(spark, sf_dir):
+    store, a, _ = two_versions(spark, sf_dir)
+    at = store.manifest(a)["ts"]
+    return sql.run(store, f"SELECT o_orderstatus, count(*) AS n FROM orders AS OF TIMESTAMP {at} GROUP BY o_orderstatus")
+
+
+@query("backup_changes", f"WITH {V2} SELECT * FROM v2")
+def backup_changes(spark, sf_dir):
+    store, a, b = two_versions(spark, sf_dir)
+    path = scratch(spark, "backup")
+    return io.restore(spark, path, io.backup_changes(store, io.backup_commit(store, a, path), b, path))["orders"]
+
+
+@query("cache_refresh", f"WITH {V2} SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM v2 GROUP BY o_orderstatus")
+def cache_refresh(spark, sf_dir):
+    store, a, b = two_versions(spark, sf_dir)
+    held = Cache(store)
+    held.table("orders", a)
+    return held.sql("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus", b)
+
+
+@query("verified_scan", f"WITH {V1} SELECT * FROM v1")
+def verified_scan(spark, sf_dir):
+    return integrity.verified(integrity.sealed(orders(spark, sf_dir)))
+
+
+@query(
+    "apply_commands",
+    f"WITH {V1} SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 2 WHEN o_orderkey % 2 = 0 THEN 1 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM v1 WHERE o_orderkey % 5 <> 0 OR o_orderkey % 6 = 0",
+)
+def apply_commands(spark, sf_dir):
+    """Puts of even keys, deletes of keys divisible by 5, puts of keys divisible by 6, in this order; later ones are not committed."""
+    df = orders(spark, sf_dir)
+    entry = lambda by, base, kind, cust: df.where(F.col("o_orderkey") % by == 0).select((F.col("o_orderkey") + base).alias("index"), F.lit(kind).alias("kind"), "o_orderkey", F.lit(cust).cast("long").alias("o_custkey"), "o_orderstatus", "o_totalprice")
+    step = 1 << 40
+    log = entry(2, step, "put", 1).unionByName(entry(5, 2 * step, "delete", None)).unionByName(entry(6, 3 * step, "put", 2)).unionByName(entry(1, 4 * step, "delete", None)).unionByName(entry(3, 0, "delete", None))
+    return temporal.apply_commands(df, log, "o_orderkey", step - 1, 4 * step - 1)
+
+
+@query("shard_rows", f"WITH {V1} SELECT * FROM v1 WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey + 1000000, o_custkey, o_orderstatus, o_totalprice FROM v1")
+def shard_rows(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    shards = placement.Shards(df, "o_orderkey", 16)
+    shards.put(df.withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000))
+    shards.delete(df.where("o_orderkey % 4 = 0"))
+    return shards.rows.drop("shard")
+
+
+@query("scatter_gather", "SELECT CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice < 200000 THEN 1 ELSE 2 END AS range_id, count(*) AS n, max(o_orderkey) AS last_key FROM orders GROUP BY 1")
+def scatter_gather(spark, sf_dir):
+    bounds = [(0, None, 50_000.0), (1, 50_000.0, 200_000.0), (2, 200_000.0, None)]
+    return placement.scatter_gather(orders(spark, sf_dir), "o_totalprice", bounds, F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last_key"))
+
+
+@query("propose_by_group", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) + CASE o_orderstatus WHEN 'F' THEN 100 ELSE 0 END AS index FROM orders")
+def propose_by_group(spark, sf_dir):
+    log = spark.createDataFrame([("F", 99), ("F", 100)], "o_orderstatus string, index long")
+    return temporal.proposed(log, orders(spark, sf_dir), "o_orderstatus", "o_orderkey").select("o_orderkey", "index")
+
+
+@query("migrate_source", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def migrate_source(spark, sf_dir):
+    """Rows without key are set aside, a repeat adds none."""
+    path = scratch(spark, "source")
+    c = read(spark, sf_dir, "customer").select(F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")).alias("c_custkey"), "c_name", "c_mktsegment")
+    c.unionByName(c).write.parquet(path)
+    store = Store(spark, scratch(spark, "store"))
+    for _ in range(2):
+        io.migrate(store, "parquet", path, "customer", "c_custkey")
+    return store.table("customer")
+
+
+@query("snapshot_pairing", "SELECT o_custkey AS commit, max(o_orderkey) AS snapshot, concat('commit-', o_custkey) AS label FROM orders GROUP BY o_custkey")
+def snapshot_pairing(spark, sf_dir):
+    made = orders(spark, sf_dir).select(F.col("o_custkey").alias("commit"), F.col("o_orderkey").alias("snapshot"), F.col("o_orderkey").alias("seq"))
+    return temporal.paired(made)
