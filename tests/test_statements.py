@@ -196,3 +196,61 @@ def test_commands_applied_twice_change_nothing(spark):
     once = temporal.apply_commands(table, log, "id", 0, 4)
     assert rows(once) == [(1, "x"), (2, "y")] == rows(temporal.apply_commands(once, log, "id", 0, 4))
     assert rows(temporal.apply_commands(once, log, "id", 4, 4)) == rows(once)
+
+
+def test_statements_commit_what_changed(spark, store):
+    big = spark.range(1000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    store.create("t", big, "id")
+    store.commit("load")
+    folder = lambda s=store: s.manifest(s.head())["tables"]["t"]
+    first = folder()["path"]
+    sql.run(store, "UPDATE t SET v = 'x' WHERE id = 5")
+    sql.run(store, "DELETE FROM t WHERE id IN (6, 7)")
+    sql.run(store, "INSERT INTO t VALUES (5, 'y'), (2000, 'z')")
+    a = store.commit("three statements")
+    assert folder()["path"] == first and [layer["rows"] for layer in folder()["layers"]] == [1, 2, 2]
+    assert rows(store.table("t").where("id IN (4, 5, 6, 7, 8, 2000)")) == [(4, "v4"), (5, "y"), (8, "v8"), (2000, "z")]
+    assert rows(store.change_feed(a).select("key", "kind")) == [("2000", "added"), ("5", "modified"), ("6", "removed"), ("7", "removed")]
+    assert not store._read(folder()).join(big, "id", "left_anti").where("id < 1000").count()
+    # the same rows written whole have the same root
+    other = Store(spark, scratch(spark, "store"))
+    other.create("t", store.table("t"), "id")
+    assert other.manifest(other.commit("whole"))["root"] == store.manifest(a)["root"]
+    # nothing touched: no layer; back to what it was: the first root
+    sql.run(store, "DELETE FROM t WHERE id = -1")
+    assert store.manifest(store.commit("none"))["root"] == store.manifest(a)["root"] and len(folder()["layers"]) == 3
+    sql.run(store, "INSERT INTO t VALUES (5, 'v5'), (6, 'v6'), (7, 'v7')")
+    sql.run(store, "DELETE FROM t WHERE id = 2000")
+    back = store.commit("back")
+    assert store.manifest(back)["root"] == next(m["root"] for m in store.chain() if m["message"] == "load")
+    assert store.change_feed(back).count() == 4
+    # many or large layers: written whole
+    sql.run(store, "UPDATE t SET v = upper(v)")
+    store.commit("all")
+    assert folder()["path"] != first and not folder().get("layers") and store.table("t").where("v LIKE 'V%'").count() == 1000
+
+
+def test_merges_and_rollbacks_of_layers(spark, store):
+    store.create("t", spark.range(100).withColumn("n", F.lit(0)), "id")
+    store.commit("load")
+    store.create_branch("side")
+    sql.run(store, "UPDATE t SET n = 1 WHERE id = 1")
+    store.commit("main")
+    store.checkout("side")
+    sql.run(store, "UPDATE t SET n = 2 WHERE id = 2")
+    sql.run(store, "DELETE FROM t WHERE id = 3")
+    store.commit("side")
+    store.checkout("main")
+    sql.run(store, "SELECT vc_merge_three_way('side')")
+    assert rows(store.table("t").where("id < 5")) == [(0, 0), (1, 1), (2, 2), (4, 0)]
+    sql.run(store, "UPDATE t SET n = 3 WHERE id = 4")
+    sql.run(store, "BEGIN")
+    sql.run(store, "DELETE FROM t")
+    sql.run(store, "ROLLBACK")
+    store.commit("four")
+    assert store.table("t").count() == 99 and len(store.manifest(store.head())["tables"]["t"]["layers"]) == 3
+    store.create("twice", spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string"))
+    store.commit("not unique")
+    sql.run(store, "DELETE FROM twice WHERE v = 'a'")
+    with pytest.raises(ValueError, match="not unique"):
+        store.commit("refused")

@@ -1,8 +1,11 @@
 """Versioned tables: immutable Parquet folders, JSON manifests, branches as numbered pointers.
 
-A commit is a manifest that lists, for each table, the folder of its rows, its schema and its key.
-Tables that did not change keep their folder, so a commit costs what changed. A branch is a folder
-of numbered files; publishing creates the next number exclusively, so of two writers one loses.
+A commit is a manifest that lists, for each table, the folder of its rows, the layers over it, its
+schema and its key. Tables that did not change keep their folder. A table changed by ``change``, as
+SQL statements do, gets a layer of the rows that came and the keys they touch, so such a commit
+writes what changed; a table that was ``put`` anew, or has many or large layers, is written whole.
+A branch is a folder of numbered files; publishing creates the next number exclusively, so of two
+writers one loses. Keys are unique and not null.
 """
 
 from __future__ import annotations
@@ -23,12 +26,34 @@ from tidemark.operators.diff import diff_rows, seal_of
 from tidemark.plans.paths import Conflict, Files
 
 
+#: Layers over a folder before they are folded into one, and keys that they may touch as a part of the table's before it is written whole.
+LAYERS, PART = 8, 0.25
+
+
+def layered(df: DataFrame, put: DataFrame, touched: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows of the keys of ``touched`` (key), and ``put``; keys of ``put`` are among ``touched``."""
+    return df.join(touched, key, "left_anti").select(df.columns).unionByName(put)
+
+
+def version(entry: dict) -> tuple[str, ...]:
+    """What a table's rows are read from: its folder and the layers over it."""
+    return entry["path"], *(layer["path"] for layer in entry.get("layers", []))
+
+
+def moved(seal: list, gone: tuple[int, str], came: tuple[int, str]) -> list:
+    """The seal of rows of which some went and some came."""
+    value = lambda part: int(part[1]) if part[0] else 0
+    n = seal[0] - gone[0] + came[0]
+    return [n, str(value(seal) - value(gone) + value(came)) if n else "None"]
+
+
 class Store:
     """A database of versioned tables under ``path``."""
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], int] = time.time_ns):
         self.spark, self.path, self.clock, self.files = spark, path.rstrip("/"), clock, Files(spark)
         self.branch, self.working, self.keys = "main", {}, {}
+        self._edits: dict[str, tuple[DataFrame, list[tuple[DataFrame, DataFrame]]]] = {}
         self._snapshot = None
         if not self.files.names(f"{self.path}/refs/main"):
             self._point("main", self._publish(None, "system", "genesis", {}))
@@ -110,10 +135,63 @@ class Store:
         self._base = self.manifest(self.head())
         self.working = {t: self._read(v) for t, v in self._base["tables"].items()}
         self.keys = {t: v["key"] for t, v in self._base["tables"].items()}
-        self._clean = dict(self.working)
+        self._clean, self._edits = dict(self.working), {}
 
     def _read(self, entry: dict) -> DataFrame:
-        return self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(entry["path"])
+        df = self.spark.read.schema(StructType.fromJson(entry["schema"])).parquet(entry["path"])
+        for layer in entry.get("layers", []):
+            df = layered(df, *self._layer(df.schema, entry["key"], layer["path"]), entry["key"])
+        return df
+
+    def _layer(self, schema: StructType, key: str, path: str) -> tuple[DataFrame, DataFrame]:
+        return self.spark.read.schema(schema).parquet(f"{path}/put"), self.spark.read.schema(StructType([schema[key]])).parquet(f"{path}/touched")
+
+    def _written(self, name: str, schema: StructType, key: str, put: DataFrame, touched: DataFrame) -> dict:
+        """A new layer: rows that come and all keys that are touched, theirs too."""
+        path = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
+        put.select(schema.names).write.parquet(f"{path}/put")
+        came = self.spark.read.schema(schema).parquet(f"{path}/put")
+        touched.select(key).union(came.select(key)).distinct().write.parquet(f"{path}/touched")
+        n, n_set = self._layer(schema, key, path)[1].agg(F.count(F.lit(1)), F.count(key)).first()
+        if n != n_set or came.count() > n:
+            raise ValueError(f"{name}: values of {key} are null or not unique")
+        return {"path": path, "rows": n}
+
+    def _folded(self, name: str, schema: StructType, key: str, layers: list[dict]) -> dict:
+        """One layer that does what these do one after the other."""
+        (put, touched), *rest = (self._layer(schema, key, layer["path"]) for layer in layers)
+        for later, keys in rest:
+            put, touched = layered(put, later, keys, key), touched.union(keys)
+        return self._written(name, schema, key, put, touched)
+
+    def _with_layers(self, name: str, entry: dict, layers: list[dict]) -> dict:
+        """``entry`` with layers more; its seal follows from the rows that went and came."""
+        schema, key = StructType.fromJson(entry["schema"]), entry["key"]
+        for layer in layers:
+            before = self._read(entry)
+            put, touched = self._layer(schema, key, layer["path"])
+            gone = seal_of(before.join(touched, key, "left_semi").select(before.columns))
+            if gone[0] > layer["rows"]:
+                raise ValueError(f"{name}: values of {key} are null or not unique")
+            entry = entry | {"layers": [*entry.get("layers", []), layer], "seal": moved(entry["seal"], gone, seal_of(put))}
+        if len(entry.get("layers", [])) > LAYERS:
+            entry = entry | {"layers": [self._folded(name, schema, key, entry["layers"])]}
+        return entry
+
+    def changes(self, before: dict | None, after: dict | None) -> DataFrame:
+        """``diff_rows`` of two entries of a table; over one folder, of the rows that layers touch which only one has."""
+        left, right = (self._read(e) if e else None for e in (before, after))
+        left = left if left is not None else right.limit(0)
+        right = right if right is not None else left.limit(0)
+        key = (before or after)["key"]
+        if before and after and before["path"] == after["path"]:
+            a, b = version(before), version(after)
+            alike = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            touched = left.select(key).limit(0)
+            for path in (*a[alike:], *b[alike:]):
+                touched = touched.union(self._layer(left.schema, key, path)[1])
+            left, right = (df.join(touched, key, "left_semi").select(df.columns) for df in (left, right))
+        return diff_rows(left, right, key)
 
     def table(self, name: str) -> DataFrame:
         return self.working[name]
@@ -127,6 +205,24 @@ class Store:
         self.working[name] = df
         self.keys.setdefault(name, df.columns[0])
 
+    def change(self, name: str, put: DataFrame, touched: DataFrame) -> None:
+        """Rows of the keys of ``touched`` (key) go and the rows of ``put`` come, whose keys are touched too.
+
+        They are written at once, so what follows does not compute them again; a commit adds them to the table.
+        """
+        df, key = self.working[name], self.keys[name]
+        layer = self._written(name, df.schema, key, put, touched)
+        if not layer["rows"]:
+            return
+        of, edits = self._edits.get(name, (None, []))
+        edits = [*(edits if of is df else []), layer]
+        if of is df and len(edits) > LAYERS:
+            edits, df = [self._folded(name, df.schema, key, edits)], self._clean[name]
+        known = of is self.working[name] or self._clean.get(name) is df
+        self.working[name] = layered(df, *self._layer(df.schema, key, edits[-1]["path"]), key)
+        if known:
+            self._edits[name] = (self.working[name], edits)
+
     def drop(self, name: str) -> None:
         self.working.pop(name, None)
         self.keys.pop(name, None)
@@ -139,11 +235,11 @@ class Store:
     def begin(self) -> None:
         if self._snapshot is not None:
             raise RuntimeError("a transaction is open")
-        self._snapshot = (dict(self.working), dict(self.keys))
+        self._snapshot = (dict(self.working), dict(self.keys), dict(self._edits))
 
     def rollback(self) -> None:
         if self._snapshot is not None:
-            (self.working, self.keys), self._snapshot = self._snapshot, None
+            (self.working, self.keys, self._edits), self._snapshot = self._snapshot, None
 
     def end(self) -> None:
         self._snapshot = None
@@ -159,10 +255,17 @@ class Store:
             if self._clean.get(name) is df:
                 tables[name] = self._base["tables"][name]
                 continue
+            if name in self._edits and self._edits[name][0] is df:
+                entry = self._with_layers(name, self._base["tables"][name], self._edits[name][1])
+                if sum(layer["rows"] for layer in entry["layers"]) <= PART * max(entry["seal"][0], 1):
+                    tables[name] = entry
+                    continue
+                df = self._read(entry)
             path = f"{self.path}/data/{name}/{uuid.uuid4().hex}"
             df.write.parquet(path)
-            n, total = seal_of(self.spark.read.schema(df.schema).parquet(path))
-            tables[name] = {"path": path, "schema": json.loads(df.schema.json()), "key": self.keys[name], "seal": [n, total]}
+            kept = self.spark.read.schema(df.schema).parquet(path)  # its schema has no columns without nulls, so it follows from names and types
+            n, total = seal_of(kept)
+            tables[name] = {"path": path, "schema": json.loads(kept.schema.json()), "key": self.keys[name], "seal": [n, total]}
         if len(self._numbers(self.branch)) != self._base_n:
             raise Conflict(self.branch)
         made = self._publish(self._base["id"], author, message, tables, merged, note)
@@ -200,25 +303,23 @@ class Store:
         head = self.manifest(self.head(source))
         base = self.common_ancestor(head["id"], self.head())
         for name in base["tables"].keys() - head["tables"].keys():
-            if name in self.working and self._base["tables"][name]["path"] == base["tables"][name]["path"]:
+            if name in self.working and version(self._base["tables"][name]) == version(base["tables"][name]):
                 self.drop(name)
         for name, entry in head["tables"].items():
-            if name in base["tables"] and entry["path"] == base["tables"][name]["path"]:
+            if name in base["tables"] and version(entry) == version(base["tables"][name]):
                 continue
             their, key = self._read(entry), entry["key"]
             if name not in self.working:
                 self.working[name], self.keys[name] = their, key
                 continue
-            old = self._read(base["tables"][name]) if name in base["tables"] else their.limit(0)
-            t, o = diff_rows(old, their, key), diff_rows(old, self.working[name], key)
+            old = base["tables"].get(name)
+            t, o = self.changes(old, entry), self.changes(old, self._base["tables"][name])
             both = t.alias("t").join(o.alias("o"), F.col("t.key") == F.col("o.key")).where("NOT (t.kind = o.kind AND t.after_hash <=> o.after_hash)")
             if not both.isEmpty():
                 raise Conflict(f"{name}: both sides changed a row")
-            touched = t.select(F.col("key"))
             mine = self.working[name]
-            kept = mine.join(touched, mine[key].cast("string") == touched["key"], "left_anti")
-            fresh = their.join(touched, their[key].cast("string") == touched["key"], "left_semi")
-            self.working[name] = kept.unionByName(fresh)
+            fresh = their.join(t.select("key"), their[key].cast("string") == t["key"], "left_semi").select(mine.columns)
+            self.change(name, fresh, t.select(F.col("key").cast(mine.schema[key].dataType).alias(key)))
         return self.commit(f"merge {source}", author, head["id"])
 
     def as_of(self, name: str, commit: str) -> DataFrame:
@@ -239,17 +340,14 @@ class Store:
         return self.spark.createDataFrame([(n, self.head(n), n == self.branch) for n in names], "name string, head string, is_current boolean")
 
     def diff(self, a: str, b: str) -> DataFrame:
-        """(table, key, kind, before_hash, after_hash) from commit or branch ``a`` to ``b``; tables of one folder are skipped."""
+        """(table, key, kind, before_hash, after_hash) from commit or branch ``a`` to ``b``; tables of one folder and the same layers are skipped."""
         sides = [self.manifest(self.head(x) if self._numbers(x) else x)["tables"] for x in (a, b)]
         out = self.spark.createDataFrame([], "table string, key string, kind string, before_hash string, after_hash string")
         for name in sorted({*sides[0], *sides[1]}):
             x, y = (s.get(name) for s in sides)
-            if x and y and x["path"] == y["path"]:
+            if x and y and version(x) == version(y):
                 continue
-            left, right = (self._read(e) if e else None for e in (x, y))
-            left = left if left is not None else right.limit(0)
-            right = right if right is not None else left.limit(0)
-            out = out.unionByName(diff_rows(left, right, (x or y)["key"]).withColumn("table", F.lit(name)))
+            out = out.unionByName(self.changes(x, y).withColumn("table", F.lit(name)))
         return out
 
     def change_feed(self, commit: str) -> DataFrame:

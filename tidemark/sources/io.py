@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.diff import diff_rows, seal_of
+from tidemark.operators.diff import seal_of
 from tidemark.plans.paths import Files
-from tidemark.plans.store import Store
+from tidemark.plans.store import Store, version
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -117,14 +117,12 @@ def backup_changes(store: Store, base: str, commit: str, path: str, codec: str =
     was, now, entries = store.manifest(old["commit"])["tables"], store.manifest(commit)["tables"], {}
     name = f"changes-{old['commit'][:12]}-{commit[:12]}"
     for table, entry in now.items():
-        if table in was and was[table]["path"] == entry["path"]:
+        if table in was and version(was[table]) == version(entry):
             entries[table] = {"same": True, "key": entry["key"]}
             continue
         after, key = store.as_of(table, commit), entry["key"]
-        before = store.as_of(table, old["commit"]) if table in was else after.limit(0)
-        fresh = table not in was or before.schema != after.schema or was[table]["key"] != key
-        before = after.limit(0) if fresh else before  # another schema or key: all rows anew
-        changed = diff_rows(before, after, key)
+        fresh = table not in was or was[table]["schema"] != entry["schema"] or was[table]["key"] != key
+        changed = store.changes(None if fresh else was[table], entry)  # another schema or key: all rows anew
         came = changed.where("kind <> 'removed'").select("key")
         rows = after.join(came, after[key].cast("string") == came["key"], "left_semi")
         entries[table] = {

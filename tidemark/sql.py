@@ -106,20 +106,24 @@ def insert(store: Store, name: str, columns: str | None, body: str, args: Any) -
     if len(names) != len(new.columns) or not set(names) <= set(df.columns) or len(set(names)) < len(names) or key not in names:
         raise ValueError(f"{name}: columns {names} do not fit {len(new.columns)} values and the key {key}")
     new = new.toDF(*names).select(*[F.col(c).cast(df.schema[c].dataType) for c in names])
-    if not new.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{name}: a key is given twice")
+    if not new.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        raise ValueError(f"{name}: a key is null or given twice")
+    full = new.select(*[F.col(c) if c in names else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
     if not conflict:
-        out = dml.insert(df, new, key)
+        rows = full
+    elif target not in (None, key):
+        raise ValueError(f"the conflict target {target} is not the key {key}")
     elif conflict[2].upper() == "NOTHING":
-        out = dml.upsert(df, new, key, target=target)
+        rows = full.join(df.select(key), key, "left_anti").select(df.columns)
     else:
-        full = new.select(*[F.col(c) if c in names else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
         sets = {}
         for c, text in assignments(rule, df).items():
             text = re.sub(r"\bEXCLUDED\s*\.\s*(\w+)", lambda m: m[1] if m[1] == key else f"excluded_{m[1]}", text, flags=re.I)
             sets[c] = F.expr(text).cast(df.schema[c].dataType)
-        out = dml.upsert(df, full, key, "update", sets, target)
-    store.put(name, out.select(df.columns))
+        if key in sets:
+            raise ValueError(f"{name}: the key of a row that is there stays")
+        rows = dml.upsert(df.join(new.select(key), key, "left_semi").select(df.columns), full, key, "update", sets).select(df.columns)
+    store.change(name, rows, rows.select(key))
     return tag(store, "INSERT", new)
 
 
@@ -135,16 +139,20 @@ def update(store: Store, name: str, rest: str, args: Any) -> DataFrame:
     exprs = {"_hit": rest[where.end() :] if where else "true"} | {f"_set{i}": text for i, text in enumerate(sets.values())}
     both = computed(store, name, exprs, args)
     values = {c: F.col(f"_set{i}").cast(df.schema[c].dataType) for i, c in enumerate(sets)}
-    store.put(name, dml.update(both, values, F.col("_hit"), store.keys[name]).select(df.columns))
-    return tag(store, "UPDATE", both.where("_hit"))
+    key, hit = store.keys[name], both.where("_hit")
+    if key in values:
+        store.put(name, dml.update(both, values, F.col("_hit"), key).select(df.columns))
+    else:
+        store.change(name, dml.update(hit, values).select(df.columns), hit.select(key))
+    return tag(store, "UPDATE", hit)
 
 
 def delete(store: Store, name: str, where: str | None, args: Any) -> DataFrame:
     """Rows for which the condition holds go; without a condition all do."""
     df = known(store, name)
-    both = computed(store, name, {"_hit": where or "true"}, args)
-    store.put(name, dml.delete(both, F.col("_hit")).select(df.columns))
-    return tag(store, "DELETE", both.where("_hit"))
+    hit = computed(store, name, {"_hit": where or "true"}, args).where("_hit")
+    store.change(name, df.where(F.lit(False)), hit.select(store.keys[name]))
+    return tag(store, "DELETE", hit)
 
 
 def tag(store: Store, word: str, rows: DataFrame | None = None) -> DataFrame:
