@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -161,6 +162,19 @@ def test_near_copies_are_those_of_brute_force(spark, none):
     assert near.one_of_each(none).count() == 0
 
 
+def test_shingles_of_all_texts_are_counted(spark, none):
+    # a passage of 9,000 of 20,000 texts and more, and of none that a sample by the hash of the id takes
+    own = F.expr("concat_ws(' ', transform(sequence(1, 12), k -> concat('w', id, 'x', k)))")
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.range(20_000).select("id", F.concat(F.when(F.expr("pmod(xxhash64(id), 2) = 1"), f"{passage} ").otherwise(""), own).alias("text"))
+    counts = near.shingle_counts(docs, 5)
+    assert counts.sum() == docs.select(F.sum(F.size(F.split("text", " ")) - 4)).first()[0]
+    often = next(near.shingle_sets([passage], 5)).view(np.int64).tolist()
+    first = near.prefixes(docs, 5, counts).select(F.explode("members").alias("m"))
+    assert docs.where(F.col("text").startswith(passage)).count() > 9_000 and first.where(F.col("m").isin(often)).count() == 0
+    assert not near.shingle_counts(none.select(F.col("doc_id").alias("id"), "text"), 5).any()
+
+
 def test_repeated_passages(spark, none):
     passage = lines(60, 9)
     rows = [(1, lines(100, 4) + " " + passage + " " + lines(80, 5)), (2, lines(70, 6) + "\n" + passage + " " + lines(90, 7)), (3, lines(200, 8)), (4, lines(90, 10)), (5, lines(90, 10)), (6, None), (7, ""), (None, passage)]

@@ -7,8 +7,9 @@ to 0.8 differ in some 39 bits and may share no cell, so a second pass finds what
 apart, without losses:
 
 Two sets whose similarity is at least 4/5 share one of their first |s| - ceil(4|s|/5) + 1 members
-in any order that is the same for all sets. The order here puts shingles that a sample of texts
-has often last, so that rare ones make the prefixes; the order decides the work, not the result.
+in any order that is the same for all sets. Each shingle of each text is counted, in one of
+``BUCKETS`` buckets, and the order is by the count of a shingle's bucket, so that rare ones make
+the prefixes. Any order finds all pairs that the bound ``FAR`` below lets pass; it decides the work.
 Where the shared member stands bounds the overlap, and sizes bound it too. So do the parities of
 256 buckets of members: they differ in no more buckets than members are in one set alone, for
 pairs alike to 0.8 a ninth of both sizes. Of sets of ``SMALL`` or more members the fingerprints
@@ -36,10 +37,8 @@ from tidemark.llm.textnum import BASE, chunks, mixed, word_hashes
 DISTANCE = 48
 #: Differing bits beyond which no two sets of so many members are alike to 0.8: 39 bits expected, 5.8 their deviation.
 FAR, SMALL = 74, 64
-#: Texts of the sample and shingles that it may put last.
-SAMPLE, COMMON = 10_000, 200_000
-#: A shingle in so many texts of the sample is common.
-OFTEN = 3
+#: Buckets in which shingles are counted, by their first bits, and the parts in which counts are sent.
+BUCKETS, PARTS = 1 << 20, 64
 
 
 def shingle_sets(texts: list[str | None], shingle: int) -> Iterator[np.ndarray]:
@@ -67,29 +66,43 @@ def in_turn(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(texts.slice(i, 64).to_pylist(), shingle)
 
 
-def exploded_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(shingle): each member of the set of each text of (text)."""
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64)
+
+
+def shingle_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Members that the sets of all texts of (text) have in each bucket: a count for each, whole tables are read."""
+    size = BUCKETS // PARTS
+
+    def sent(parts: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, counts in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["part", "counts"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for found in in_turn(batch.column("text"), shingle):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    return docs.select("text").mapInArrow(each, "shingle long")
+                np.add.at(counts, bucket(found), 1)
+        yield from sent({i: part for i, part in enumerate(counts.reshape(PARTS, size)) if part.any()})
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for batch in batches:
+            for i, counts in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+                sums.setdefault(i, np.zeros(size, dtype=np.int64))
+                sums[i] += np.frombuffer(counts.as_buffer(), dtype=np.int64)
+        yield from sent(sums)
 
-def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that a sample of the texts has often, rarer ones first."""
-    n = max(1, docs.count() // SAMPLE)
-    counts = exploded_sets(docs.where(F.pmod(F.xxhash64("id"), F.lit(n)) == 0), shingle).groupBy("shingle").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    return np.array([r.shingle for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    kind = "part int, counts binary"
+    total = np.zeros((PARTS, size), dtype=np.int64)
+    for r in docs.select("text").mapInArrow(each, kind).repartition("part").mapInArrow(summed, kind).collect():
+        total[r.part] = np.frombuffer(r.counts, dtype=np.int64)
+    return total.ravel()
 
 
-def prefixes(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, shingle: int, counts: np.ndarray) -> DataFrame:
     """(id, size, fp, odd, members) for each text of (id, text): size of the set, wide fingerprint, parities of buckets, first members."""
-    by = np.argsort(common)
-    ordered, rank = common[by], by + 1
+    rank = np.unique(counts, return_inverse=True)[1].astype(np.int32)
     salts = np.arange(WORDS, dtype=np.uint64) * BASE
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +113,7 @@ def prefixes(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
                 sizes.append(n)
                 words.append(np.array([majority(mixed(s + salt)) for salt in salts], dtype=np.uint64).view(np.int64))
                 odd.append(np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64))
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    s = s[np.argsort(np.where(ordered[at] == s, rank[at], 0), kind="stable")]
+                s = s[np.argsort(rank[bucket(s)], kind="stable")]
                 members.append(s[: n - -(-4 * n // 5) + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(members, pa.list_(pa.int64()))],
@@ -181,7 +192,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_
     """
     small_batches(docs.sparkSession)
     docs = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    own = staged(prefixes(docs, shingle, common_shingles(docs, shingle)), "prefixes")
+    own = staged(prefixes(docs, shingle, shingle_counts(docs, shingle)), "prefixes")
 
     # by fingerprints
     nodes = staged(own.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "nodes")
