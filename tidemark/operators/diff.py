@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def row_hash(df: DataFrame) -> Column:
-    """SHA-256 of the row as JSON with nulls written out, so null and empty text differ."""
-    return F.sha2(F.to_json(F.struct(*[df[c] for c in df.columns]), {"ignoreNullFields": "false"}), 256)
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """SHA-256 of the row, or of some columns, as JSON with nulls written out, so null and empty text differ."""
+    return F.sha2(F.to_json(F.struct(*[df[c] for c in columns or df.columns]), {"ignoreNullFields": "false"}), 256)
 
 
-def diff_rows(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, kind, before_hash, after_hash) of rows added, removed or modified; keys are unique and not null."""
-    a = before.select(before[key].cast("string").alias("key"), row_hash(before).alias("before_hash"))
-    b = after.select(after[key].cast("string").alias("key"), row_hash(after).alias("after_hash"))
+def diff_rows(before: DataFrame, after: DataFrame, key: str, compared: list[str] | None = None) -> DataFrame:
+    """(key, kind, before_hash, after_hash) of rows added, removed or modified; keys are unique and not null.
+
+    With ``compared`` columns, a row is modified when one of these differs, and hashes are of these.
+    """
+    a = before.select(before[key].cast("string").alias("key"), row_hash(before, compared).alias("before_hash"))
+    b = after.select(after[key].cast("string").alias("key"), row_hash(after, compared).alias("after_hash"))
     kind = F.when(F.col("before_hash").isNull(), "added").when(F.col("after_hash").isNull(), "removed").otherwise("modified")
     return a.join(b, "key", "full_outer").where(~F.col("before_hash").eqNullSafe(F.col("after_hash"))).withColumn("kind", kind)
 

@@ -178,7 +178,7 @@ class Store:
             entry = entry | {"layers": [self._folded(name, schema, key, entry["layers"])]}
         return entry
 
-    def changes(self, before: dict | None, after: dict | None) -> DataFrame:
+    def changes(self, before: dict | None, after: dict | None, compared: list[str] | None = None) -> DataFrame:
         """``diff_rows`` of two entries of a table; over one folder, of the rows that layers touch which only one has."""
         left, right = (self._read(e) if e else None for e in (before, after))
         left = left if left is not None else right.limit(0)
@@ -191,7 +191,7 @@ class Store:
             for path in (*a[alike:], *b[alike:]):
                 touched = touched.union(self._layer(left.schema, key, path)[1])
             left, right = (df.join(touched, key, "left_semi").select(df.columns) for df in (left, right))
-        return diff_rows(left, right, key)
+        return diff_rows(left, right, key, compared)
 
     def table(self, name: str) -> DataFrame:
         return self.working[name]
@@ -339,15 +339,18 @@ class Store:
         names = self.files.names(f"{self.path}/refs")
         return self.spark.createDataFrame([(n, self.head(n), n == self.branch) for n in names], "name string, head string, is_current boolean")
 
-    def diff(self, a: str, b: str) -> DataFrame:
-        """(table, key, kind, before_hash, after_hash) from commit or branch ``a`` to ``b``; tables of one folder and the same layers are skipped."""
+    def diff(self, a: str, b: str, compared: dict[str, list[str]] | None = None) -> DataFrame:
+        """(table, key, kind, before_hash, after_hash) from commit or branch ``a`` to ``b``; tables of one folder and the same layers are skipped.
+
+        Rows of a table named in ``compared`` are modified when one of its columns given there differs, of others when any does.
+        """
         sides = [self.manifest(self.head(x) if self._numbers(x) else x)["tables"] for x in (a, b)]
         out = self.spark.createDataFrame([], "table string, key string, kind string, before_hash string, after_hash string")
         for name in sorted({*sides[0], *sides[1]}):
             x, y = (s.get(name) for s in sides)
             if x and y and version(x) == version(y):
                 continue
-            out = out.unionByName(self.changes(x, y).withColumn("table", F.lit(name)))
+            out = out.unionByName(self.changes(x, y, (compared or {}).get(name)).withColumn("table", F.lit(name)))
         return out
 
     def change_feed(self, commit: str) -> DataFrame:
