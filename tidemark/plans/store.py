@@ -353,6 +353,6 @@ class Store:
             out = out.unionByName(self.changes(x, y, (compared or {}).get(name)).withColumn("table", F.lit(name)))
         return out
 
-    def change_feed(self, commit: str) -> DataFrame:
-        """What a commit changed, deletes too, against its parent."""
-        return self.diff(self.manifest(commit)["parent"], commit)
+    def change_feed(self, commit: str, compared: dict[str, list[str]] | None = None) -> DataFrame:
+        """What a commit changed, deletes too, against its parent; ``compared`` as in ``diff``."""
+        return self.diff(self.manifest(commit)["parent"], commit, compared)
